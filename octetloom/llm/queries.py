@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash
+from . import chunking, mixing, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 
+def _fold(modulus: int):
+    """crc32 of doc_id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _fold(3) == 1
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +35,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "mix_slot", "mix_position")
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard counts are at most one apart."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -35,14 +50,23 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _fold(5) == 0
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
+    "op4_fingerprint": op4_fingerprint,
     "op7_shard": op7_shard,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
 }
 
