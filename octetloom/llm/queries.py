@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing, quality, sharding, simhash, toxicity
+from . import chunking, mixing, packing, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -39,6 +39,16 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.selectExpr(
+        "doc_id",
+        *[f"cast(size(filter(spans, s -> s.rank = {i})) AS bigint) AS n_{k}" for i, k in enumerate(secrets.KINDS)],
+        f"sha2({secrets.span_list('spans', True)}, 256) AS base_sha256",
+        f"{secrets.span_list('spans')} AS spans",
+    )
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard counts are at most one apart."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -65,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_mix": op3_mix,
     "op4_fingerprint": op4_fingerprint,
+    "op5_secrets": op5_secrets,
     "op7_shard": op7_shard,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
