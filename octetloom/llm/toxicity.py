@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .quality import _BASE, _MIX, _chunks, _powers, _text_sums, labelled_sample
 
 #: Most labelled documents that the models are fitted on (a seeded sample).
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 3000
 #: Absolute discount of all orders.
 DISCOUNT = 0.75
 #: An expression has class counts if they differ from the classes' sizes by
