@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
+from . import chunking, lm, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), _fold(7) == 2)
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard counts are at most one apart."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_fingerprint": op4_fingerprint,
     "op5_secrets": op5_secrets,
+    "op6_lm": op6_lm,
     "op7_shard": op7_shard,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
