@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import _BASE, _MIX, _chunks, _powers, _text_sums, labelled_sample
+from .quality import _BASE, _MIX, CHUNK_BYTES, _chunks, _powers, _text_sums, labelled_sample
 
 #: Most labelled documents that the models are fitted on (a seeded sample).
 SAMPLE_ROWS = 3000
@@ -34,6 +34,19 @@ _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words, number of words of each text). Words are
     runs of ASCII letters (lower-cased), digits and bytes above 0x7F."""
+    some, size, words, counts = [], 0, [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for i, t in enumerate(texts):
+        some.append(t)
+        size += len(t)
+        if size >= CHUNK_BYTES or i + 1 == len(texts):
+            w, n = _hashed(some)
+            words.append(w)
+            counts.append(n)
+            some, size = [], 0
+    return np.concatenate(words), np.concatenate(counts)
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     data = _FOLD[np.frombuffer(b"".join([t + b" " for t in texts]), dtype=np.uint8)]
     if not len(data):
