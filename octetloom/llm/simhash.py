@@ -51,10 +51,14 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_in > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    values = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
-    return pd.Series(values.view(np.int64))
+def fingerprints(words_per_shingle: int = 3):
+    """A pandas UDF of whole texts' fingerprints, as signed longs."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        values = np.fromiter((fingerprint(t, words_per_shingle) for t in texts), dtype=np.uint64, count=len(texts))
+        return pd.Series(values.view(np.int64))
+
+    return F.pandas_udf(of, T.LongType())
 
 
 # -- the Golay code ---------------------------------------------------------
@@ -181,7 +185,7 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """Return (doc_id, fingerprint, component_id) for every row of ``docs``.
 
     ``fingerprint`` is 16 lower-case hex digits. Fingerprints at most 2 bits
@@ -193,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Copies are merged before any join (one row per fingerprint, partial sums
     first), so a class's size never shows in the join on keys.
     """
-    prints = materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash")
+    prints = materialize(docs.select("doc_id", fingerprints(words_per_shingle)("text").alias("fp")), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     edges = materialize(links(distinct.select("fp")), "simhash-links")
     reached = smallest_reachable(edges)
