@@ -1 +1 @@
-
+"""Column functions and window recipes over bytes and positions."""

@@ -1 +1 @@
-
+"""Operators over sources, records, graphs and rasters."""

@@ -1 +1 @@
-
+"""Registered queries and write plans."""
