@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 
 from .quality import _powers
 
@@ -28,7 +29,7 @@ STEPS = 33
 SLICES = 512
 SHARES = tuple((1 << b) // SLICES for b in TABLE_BITS)
 #: Bytes of a block, and of the first two; the mixer learns on every MIX_EVERY-th.
-BLOCK_BYTES, START_BYTES, MIX_EVERY = 1 << 20, 1 << 17, 5
+BLOCK_BYTES, START_BYTES, MIX_EVERY = 1 << 22, 1 << 17, 5
 #: Bytes whose bits are looked up together.
 STRIDE = 1 << 16
 PRIOR = np.float32(0.4)
@@ -205,31 +206,37 @@ class Learner:
             where = part.slots()
             if mixing:
                 self._learn_mixing(part, where, times)
-            turn = _byte_tables()[0][part.byte].astype(np.int64)
-            add = np.repeat(times, 8).astype(np.uint32)
+            turn = _byte_tables()[0][part.byte].astype(np.intp).ravel()
+            add = np.repeat(times.astype(np.uint32), 8)
             for table, idx in zip(self.counts, where):
-                np.add.at(table.reshape(-1), (2 * idx + turn).ravel(), add)
+                np.add.at(table.reshape(-1), 2 * idx.ravel() + turn, add)
 
     def _learn_mixing(self, part: Places, where: list[np.ndarray], times: np.ndarray) -> None:
         bits, inputs = _byte_tables()[0][part.byte], []
         for table, idx in zip(self.counts, where):
             seen = table[idx]
-            logs = np.log(seen.astype(np.float32) + PRIOR)
+            logs = seen.astype(np.float32)
+            logs += PRIOR
+            np.log(logs, out=logs)
             inputs.append(logs[..., 1] - logs[..., 0])
         often = seen.sum(axis=2)
         gate, dot = _mix(inputs, _level(often), self.weights, part.first)
         index = _map_index(part.byte, dot).ravel()
         p = 1 / (1 + np.exp(-dot))
         # Of a new word's repeats only the first meets these counts.
-        each = np.minimum(np.repeat(times, 8), 1 + often.ravel().astype(np.int64)).astype(np.float64)
+        each = np.minimum(np.repeat(times, 8), 1 + often.ravel().astype(np.int64)).astype(np.float32)
         gate, error, spread = gate.ravel(), (bits - p).ravel() * each, (p * (1 - p)).ravel() * each
         # An online Newton step for each weight set, by a fading memory of curvature.
-        flat = [x.ravel().astype(np.float64) for x in inputs]
-        slope = np.stack([np.bincount(gate, error * x, minlength=GATES) for x in flat], axis=1)
-        bend = np.empty((GATES, INPUTS, INPUTS))
-        for i, x in enumerate(flat):
-            for j in range(i + 1):
-                bend[:, i, j] = bend[:, j, i] = np.bincount(gate, spread * x * flat[j], minlength=GATES)
+        # Sorted by weight set, each set's sums are products of matrices.
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        flat = np.stack([x.ravel() for x in inputs], axis=1)[order]
+        bent = flat * spread[order, None]
+        ends = np.bincount(gate, minlength=GATES).cumsum()
+        slope, bend = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
+        error = error[order]
+        for g, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+            if a < z:
+                slope[g], bend[g] = error[a:z] @ flat[a:z], flat[a:z].T @ bent[a:z]
         self.bend = KEEP * self.bend + bend
         step = np.linalg.solve(self.bend + DAMP * np.eye(INPUTS), slope[:, :, None])[:, :, 0]
         self.weights = np.clip(self.weights + step.T, -0.5, 2.0)
@@ -327,24 +334,26 @@ class Model:
 
 class Scorer:
     """Log10 probabilities of texts. What depends on a word alone is kept for
-    later texts; when MEMO words are kept, all are forgotten."""
+    later texts; when more than MEMO words are kept, all are forgotten.
+    ``known`` gives a number for some words, which is summed up beside."""
 
-    MEMO = 1_000_000
+    MEMO = 500_000
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, known: dict[bytes, float] | None = None):
+        self.model, self.known = model, known or {}
         self._forget()
 
     def _forget(self) -> None:
         self.number = Vocabulary()
-        self.known = 0
+        self.words: list[bytes] = []
         self.body = np.empty(0)  # the word after its first byte, with the space behind
         self.final = np.empty(0)  # the same with a text's end behind
+        self.given = np.empty(0)
         self.head = np.empty(0, dtype=np.int64)
         self.before = [np.empty(0, dtype=np.uint64)] * INPUTS
 
     def _more(self) -> None:
-        new = list(self.number)[self.known :] if self.known else list(self.number)
+        new = list(self.number)[len(self.words) :]
         words = Words(new)
         places, counts = words.inside()
         logs = self.model.logs(places)
@@ -354,27 +363,51 @@ class Scorer:
         final = body.copy()
         final[some] += self.model.logs(words.ends()) - logs[(counts.cumsum() - 1)[some]]
         head = words.data[words.start].astype(np.int64)
-        if not self.known:
+        if not self.words:
             head[0] = END[0]
+        self.words += new
         self.body, self.final = np.concatenate([self.body, body]), np.concatenate([self.final, final])
+        self.given = np.concatenate([self.given, [self.known.get(w, np.nan) for w in new]])
         self.head = np.concatenate([self.head, head])
         self.before = [np.concatenate(x) for x in zip(self.before, words.before())]
-        self.known = len(self.number)
 
-    def log10(self, texts: list[list[bytes]]) -> np.ndarray:
+    def _numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Each text's word numbers behind the start's."""
         if len(self.number) > self.MEMO:
             self._forget()
-        ids = [np.array([0, *map(self.number.__getitem__, t)], dtype=np.int64) for t in texts]
-        if len(self.number) > self.known:
+        number = self.number.__getitem__
+        ids = []
+        for t in texts:
+            own = np.zeros(len(t) + 1, dtype=np.int64)
+            own[1:] = np.fromiter(map(number, t), dtype=np.int64, count=len(t))
+            ids.append(own)
+        if len(self.number) > len(self.words):
             self._more()
-        if not texts:
-            return np.empty(0)
+        return ids
+
+    def given_sums(self, ids: list[np.ndarray]) -> Iterator[tuple[float, list[bytes], list[int]]]:
+        """For each text, the sum of its words' known numbers, the words without
+        one and how often each of these comes."""
+        for t in ids:
+            values = self.given[t[1:]]
+            lacking = np.isnan(values)
+            rest, often = np.unique(t[1:][lacking], return_counts=True)
+            yield float(values[~lacking].sum()), [self.words[i] for i in rest], often.tolist()
+
+    def log10(self, ids: list[np.ndarray]) -> np.ndarray:
         before = np.concatenate([t[:-1] if len(t) > 1 else t for t in ids])
         own = np.concatenate([t[1:] if len(t) > 1 else t for t in ids])  # an empty text is its end alone
         counts = np.array([max(1, len(t) - 1) for t in ids])
-        pair, place = np.unique(before * 256 + self.head[own], return_inverse=True)
+        place, pair = pd.factorize(before * 256 + self.head[own])
         first = self.model.logs(Places((pair & 255).astype(np.uint8), [c[pair >> 8] for c in self.before], True))
         each = first[place] + self.body[own]
         ends = counts.cumsum() - 1
         each[ends] += self.final[own[ends]] - self.body[own[ends]]
         return np.add.reduceat(each, ends - counts + 1) / np.log(10)
+
+    def measure(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[tuple[float, list[bytes], list[int]]]]:
+        """(log10 probabilities, given_sums) of the texts."""
+        if not texts:
+            return np.empty(0), []
+        ids = self._numbers(texts)
+        return self.log10(ids), list(self.given_sums(ids))

@@ -16,7 +16,7 @@ from .common import materialize, unclashing
 #: Most words whose counts go to every executor; the others are joined.
 COMMON_WORDS = 200_000
 #: Distinct words that a task gathers before it passes their counts on.
-GATHERED_WORDS = 1_000_000
+GATHERED_WORDS = 500_000
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,22 +111,18 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, parts = shared.value
-        logs = {w: np.log10(n + 1) for w, n in common.items()}
-        scorer = Scorer(Model(parts))
+        scorer = Scorer(Model(parts), {w: float(np.log10(n + 1)) for w, n in common.items()})
         for b in batches:
-            for at in range(0, len(b), 128):
-                some = b.iloc[at : at + 128]
+            for at in range(0, len(b), 512):
+                some = b.iloc[at : at + 512]
                 words = [words_of(t) for t in some["text"]]
-                out: dict[str, list] = {"n_tokens": [], "sure": [], "base": [], "rare": [], "rare_n": []}
-                for w in words:
-                    got = [logs.get(x) for x in w]
-                    rest = Counter([x for x, g in zip(w, got) if g is None])
-                    out["n_tokens"].append(len(w) + 1)
-                    out["sure"].append(len(w) - rest.total())
-                    out["base"].append(float(sum([g for g in got if g is not None])))
-                    out["rare"].append(list(rest))
-                    out["rare_n"].append(list(rest.values()))
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").array, "held_out": some["held_out"].array, **out, "score": scorer.log10(words)})
+                scores, sums = scorer.measure(words)
+                tokens = np.array([len(w) + 1 for w in words])
+                yield pd.DataFrame({
+                    "doc_id": some["doc_id"].astype("Int64").array, "held_out": some["held_out"].array, "n_tokens": tokens,
+                    "sure": tokens - 1 - np.array([sum(k) for _, _, k in sums]), "base": [x for x, _, _ in sums],
+                    "rare": [w for _, w, _ in sums], "rare_n": [k for _, _, k in sums], "score": scores,
+                })
 
     measured = rows.mapInPandas(
         measure, "doc_id long, held_out boolean, n_tokens long, sure long, base double, rare array<binary>, rare_n array<int>, score double"
