@@ -1 +1 @@
-
+"""Formats: containers, codecs, media, and the sinks that write them."""
