@@ -19,6 +19,8 @@ SEED = 42
 #: Up to this many fingerprints of one key are compared pair by pair; larger
 #: keys are linked through shared neighbours instead, also exactly.
 PAIRS_UP_TO = 24
+#: Fingerprints of at least 1/HOT_SHARE of all rows are joined by broadcast.
+HOT_SHARE = 1000
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -198,14 +200,21 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     first), so a class's size never shows in the join on keys.
     """
     prints = materialize(docs.select("doc_id", fingerprints(words_per_shingle)("text").alias("fp")), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     edges = materialize(links(distinct.select("fp")), "simhash-links")
     reached = smallest_reachable(edges)
     # Only linked fingerprints need a class: (fp -> its component's root).
     roots = reached.join(distinct, reached.node == distinct.fp).select("node", "root", "first")
     smallest = roots.groupBy("root").agg(F.min("first").alias("component"))
     linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "component")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    classes = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n"), "simhash-classes")
+    # A fingerprint of a thousandth of all rows or more would make a large task
+    # of the join; there are a thousand of these at most, so they are broadcast.
+    rows = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * HOT_SHARE >= max(rows, 1)
+    hot = classes.where(common).select("fp", "component_id")
+    known = prints.join(F.broadcast(hot), "fp", "left").withColumnRenamed("component_id", "known")
+    near = known.where("known IS NOT NULL").select("doc_id", "fp", F.col("known").alias("component_id"))
+    # A class of null ids alone has a null component and stays with the others.
+    rest = known.where("known IS NULL").drop("known").join(classes.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return near.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
