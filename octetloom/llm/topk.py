@@ -15,6 +15,8 @@ from .common import materialize
 MAX_PIVOTS = 64
 SUMMARY_MEMBERS = 64
 QUERY_BLOCK, DATA_BLOCK = 4096, 8192
+#: Queries of one vector that share a part of its answer.
+SHARED_BY = 32
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -91,8 +93,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     first = Window.partitionBy("v").orderBy("id")
     data = rows.select("id", "v").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
     asked = rows.where("query").select("id", "v")
-    distinct = materialize(asked.groupBy("v").agg(F.min("id").alias("qid")), "queries")
-    members = asked.join(distinct, "v").select("id", "qid").distinct()
+    distinct = materialize(asked.groupBy("v").agg(F.min("id").alias("qid"), F.expr(f"cast(count(*) div {SHARED_BY} + 1 AS int)").alias("parts")), "queries")
+    members = asked.join(distinct, "v").select("id", "qid", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).distinct()
 
     data = materialize(data, "vectors")
     n, width = data.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
@@ -156,6 +158,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     local = everywhere.groupBy("grp", "block").cogroup(replicas.groupBy("grp", "block")).applyInPandas(solve, "qid long, id long, score long")
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     solved = materialize(local.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n"), "solved")
-    pairs = members.withColumnRenamed("id", "query_id").join(solved, "qid").where("query_id <> id")
+    # A vector that many queries ask for is handed to them in parts.
+    shares = solved.join(distinct.select("qid", "parts"), "qid").select("qid", "id", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = members.withColumnRenamed("id", "query_id").join(shares, ["qid", "part"]).where("query_id <> id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
