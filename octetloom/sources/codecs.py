@@ -47,17 +47,18 @@ def byte_run1(data: bytes, limit: int = MAXIMUM_OUTPUT_BYTES) -> bytes:
 
 
 def pack_byte_run1(data: bytes) -> bytes:
+    """Runs of three or more as repeats, the bytes between as copies."""
     out, at = bytearray(), 0
     while at < len(data):
         run = 1
-        while run < 128 and data[at : at + 1] == data[at + run : at + run + 1]:
+        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
             run += 1
         if run > 2:
-            out += bytes([(1 - run) & 255, data[at]])
+            out += bytes([257 - run, data[at]])
             at += run
             continue
-        end = at + 1
-        while end < len(data) and end - at < 128 and not data[end] == data[end - 1] == data[end - 2 : end - 1][0]:
+        end = at
+        while end < len(data) and end - at < 128 and not (end + 2 < len(data) and data[end] == data[end + 1] == data[end + 2]):
             end += 1
         out += bytes([end - at - 1]) + data[at:end]
         at = end

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from octetloom.plans import format_queries  # noqa: F401
 from octetloom.plans.queries import ORACLE_SQL, QUERIES
 
 
