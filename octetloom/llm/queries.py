@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, lm, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
+from . import chunking, lm, mixing, oracles, packing, quality, secrets, sharding, simhash, topk, toxicity
 from .common import table
 
 
@@ -92,17 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op10_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-        ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
-        )
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
-    """,
+    "op3_mix": oracles.mixing_sql(MIX_WEIGHTS),
+    "op5_secrets": oracles.secrets_sql(),
+    "op10_topk": oracles.TOP_K,
 }
