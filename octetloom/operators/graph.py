@@ -31,9 +31,13 @@ def coverage(instructions: DataFrame, calls: DataFrame, total_bytes: int | None
     pairs = calls.groupBy("site", "callee").count()
     seen = pairs.agg(F.count(F.lit(1)).alias("calls"))
     sites = calls.agg(F.count_distinct("site").alias("call_sites"))
-    total = F.col("total_bytes") if total_bytes is None else F.lit(total_bytes)
+    if total_bytes is not None:
+        own = own.withColumn("total_bytes", F.lit(total_bytes).cast("long"))
+    rows = own.unionByName(seen, allowMissingColumns=True).unionByName(sites, allowMissingColumns=True)
+    names = ["instructions", "decoded_bytes", "total_bytes", "calls", "call_sites"]
+    total = F.col("total_bytes")
     percent = F.when(total == 0, F.lit(0.0)).otherwise(F.col("decoded_bytes") / total * 100)
-    return own.join(seen).join(sites).withColumn("percent", percent)
+    return rows.agg(*[F.max(n).alias(n) for n in names]).withColumn("percent", percent)
 
 
 def callers(calls: DataFrame, address) -> DataFrame:
