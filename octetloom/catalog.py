@@ -29,7 +29,7 @@ OPERATIONS: dict[str, tuple[str, ...]] = {
     "audio.pcm.scan": (f"{_S}.pcm_regions",),
     "audio.module.scan": (f"{_F}.media.modules",),
     "graphics.palette.scan": (f"{_S}.palette_tables", f"{_S}.palette_runs"),
-    "hardware.copper.scan": (),
+    "hardware.copper.scan": (f"{_S}.copper_lists",),
     "graphics.bitmap.detect": (f"{_S}.entropy_map", f"{_S}.autocorrelation", f"{_S}.geometry_candidates"),
     "analysis.hunk.list": (f"{_F}.executables.segments", f"{_F}.executables.relocations"),
     "analysis.hunk.diff": (f"{_C}.presence", f"{_C}.changed_ranges", f"{_C}.only_in"),
@@ -52,7 +52,7 @@ OPERATIONS: dict[str, tuple[str, ...]] = {
     "graphics.bitmap.decode": (f"{_R}.decode_planar", f"{_R}.planar_to_chunky"),
     "graphics.bitmap.export": (f"{_X}.png_files", _PLAN),
     "graphics.bitmap.compare": (f"{_R}.pixel_differences", f"{_R}.substitutions", f"{_R}.bounds", f"{_R}.connected_regions"),
-    "graphics.bitmap.compare.export": (),
+    "graphics.bitmap.compare.export": (f"{_X}.heatmap_files", _PLAN),
     "graphics.palette.decode": ("octetloom.functions.bytes.rgb4_to_rgb8",),
     "graphics.palette.export": (f"{_X}.swatch_files", _PLAN),
     "graphics.ilbm.decode": (f"{_F}.media.pictures",),

@@ -67,6 +67,22 @@ def swatch_files(palettes: DataFrame, block: int = 16, columns: int = 8) -> Data
     return _made(palettes, ["words"], draw)
 
 
+def heatmap_files(differences: DataFrame, path: Column, width: int, height: int) -> DataFrame:
+    """Pixels (x, y) that differ, as a PNG of white on black. One image's pixels
+    meet in one task."""
+    rows = differences.where(f"x >= 0 AND y >= 0 AND x < {width} AND y < {height}").groupBy("y").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    image = rows.agg(F.collect_list(F.struct("y", "xs")).alias("rows")).select(path.alias("path"), "rows")
+
+    def draw(found) -> bytes:
+        pixels = bytearray(width * height)
+        for r in found:
+            for x in r["xs"]:
+                pixels[r["y"] * width + x] = 1
+        return media.png(width, height, bytes(pixels), b"\0\0\0\xff\xff\xff")
+
+    return _made(image, ["rows"], draw)
+
+
 def manifest_file(sources: DataFrame, path: str = "manifest.json") -> DataFrame:
     """All sources' manifest as one JSON file, in order of name."""
     entry = F.struct("source_id", "size", "sha256")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions import windows as W
+from ..sources import media
 
 #: Entropy, in bits a byte, from which a block looks packed, and up to which sparse.
 PACKED_BITS, SPARSE_BITS = 7.5, 2.0
@@ -119,6 +120,45 @@ def palette_tables(sources: DataFrame, minimum: int = 8) -> DataFrame:
     return sources.select("source_id", "content").mapInPandas(scan, f"source_id {kind}, start long, stop long, colours long")
 
 
+#: Ranges of registers that a display list sets up: fixed values of the chip set.
+DISPLAY_REGISTERS = ((0x080, 0x096), (0x0E0, 0x13E), (0x180, 0x1BE))
+LONGEST_LIST = 4096
+
+
+def copper_lists(sources: DataFrame) -> DataFrame:
+    """Plausible display lists on the grid of 4 bytes: (source_id, start, stop,
+    instructions, moves). Each ends with FFFF FFFE and is the longest run of
+    instructions up to there (LONGEST_LIST at most): waits, skips and moves to
+    registers 0x080 to 0x1FE; three moves at least, one to a display register.
+    A longer run has all moves of a shorter one, so the earliest start decides."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, content in zip(b["source_id"], b["content"]):
+                content = content or b""
+                w = np.frombuffer(content[: len(content) // 4 * 4], dtype=">u2").reshape(-1, 2).astype(np.int64)
+                first = w[:, 0]
+                end = (first == 0xFFFF) & (w[:, 1] == 0xFFFE)
+                if not end.any():
+                    continue
+                move = first % 2 == 0
+                sound = ~move | (first >= 0x80) & (first <= 0x1FE)
+                shown = move & np.logical_or.reduce([(first >= a) & (first <= z) for a, z in DISPLAY_REGISTERS])
+                moves, shows = np.concatenate([[0], (move & sound).cumsum()]), np.concatenate([[0], shown.cumsum()])
+                breaks = np.flatnonzero(~sound | end)
+                ends = np.flatnonzero(end)
+                at = np.searchsorted(breaks, ends)
+                before = np.where(at > 0, breaks[np.maximum(at - 1, 0)] + 1, 0)
+                for s, e in zip(np.maximum(before, ends - LONGEST_LIST + 1), ends):
+                    if moves[e] - moves[s] >= 3 and shows[e] > shows[s]:
+                        out.append((key, 4 * s, 4 * e + 4, e - s + 1, moves[e] - moves[s]))
+            yield pd.DataFrame(out, columns=["source_id", "start", "stop", "instructions", "moves"])
+
+    kind = dict(sources.dtypes)["source_id"]
+    return sources.select("source_id", "content").mapInPandas(scan, f"source_id {kind}, start long, stop long, instructions long, moves long")
+
+
 def pointer_runs(words: DataFrame, low: int, high: int, minimum: int = 3, key: str = "source_id") -> DataFrame:
     """Runs of at least ``minimum`` words (key, pos, word) that are not 0 and lie
     in [low, high): (key, first, entries, lowest, highest, seeds), seeds being
@@ -184,11 +224,16 @@ def envelope(samples: DataFrame, key: str, position: str, value: str, buckets: i
 
 def survey(sources: DataFrame, minimum_string: int = 6, minimum_colours: int = 8) -> DataFrame:
     """An ordered, gapless map of each source: (source_id, start, stop, kind,
-    detail_count, entropy). Strings (merged) and palettes are located, swept so
-    that none overlap, and what is left is scored by entropy."""
+    detail_count, entropy). Strings (merged), palettes, display lists and
+    tracker modules are located, swept so that none overlap, and what is left
+    is scored by entropy."""
     strings = merged_strings(sources, minimum_string).select("source_id", "start", "stop", F.lit("strings").alias("kind"), F.col("strings").alias("detail_count"), F.lit(1).alias("priority"))
     colours = palette_tables(sources, minimum_colours).select("source_id", "start", "stop", F.lit("palette").alias("kind"), F.col("colours").alias("detail_count"), F.lit(2).alias("priority"))
-    located = W.overlap_sweep(strings.unionByName(colours)).select("source_id", "start", "stop", "kind", "detail_count")
+    lists = copper_lists(sources).select("source_id", "start", "stop", F.lit("copper").alias("kind"), F.col("instructions").alias("detail_count"), F.lit(3).alias("priority"))
+    songs = media.modules(sources).where("error IS NULL").select(
+        "source_id", F.col("offset").alias("start"), (F.col("offset") + F.col("total_bytes")).alias("stop"), F.lit("module").alias("kind"), F.col("channels").cast("long").alias("detail_count"), F.lit(4).alias("priority")
+    )
+    located = W.overlap_sweep(strings.unionByName(colours).unionByName(lists).unionByName(songs)).select("source_id", "start", "stop", "kind", "detail_count")
     sizes = sources.select("source_id", F.octet_length("content").cast("long").alias("size"))
     rest = W.gaps(located, sizes).join(sources.select("source_id", "content"), "source_id")
     scored = rest.withColumn("entropy", B.entropy(B.byte_array(F.substring(F.col("content"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")))))

@@ -133,6 +133,24 @@ def palette_scan(spark, sf_dir):
     return scans.palette_runs(_words(spark, sf_dir).withColumn("word", F.col("word") * 37 % 6144))
 
 
+_LIST_WORDS = """pairs AS (SELECT source_id, pos, CASE WHEN word % 23 = 0 THEN 65535 WHEN word % 7 = 0 THEN 2 WHEN word % 5 = 0 THEN (word * 31) % 65536 | 1 ELSE 256 + (word % 96) * 2 END AS first,
+    CASE WHEN word % 23 = 0 THEN 65534 ELSE (word * 97) % 65536 END AS second FROM words)"""
+
+
+@query(f"""WITH {_WORDS}, {_LIST_WORDS}, marked AS (SELECT source_id, pos - 1 AS pos, first, first = 65535 AND second = 65534 AS ended, first % 2 = 0 AND (first < 128 OR first > 510) AS bad FROM pairs),
+    cut AS (SELECT *, sum((ended OR bad)::INT) OVER (PARTITION BY source_id ORDER BY pos) - (ended OR bad)::INT AS part FROM marked),
+    runs AS (SELECT source_id, part, min(pos) AS s, max(pos) AS e, count(*) AS n, bool_or(ended) AS done, bool_or(bad) AS broken, count(*) FILTER (first % 2 = 0) AS moves,
+        count(*) FILTER (first % 2 = 0 AND (first BETWEEN 128 AND 150 OR first BETWEEN 224 AND 318 OR first BETWEEN 384 AND 446)) AS shows FROM cut GROUP BY ALL)
+    SELECT source_id, s * 4 AS start, e * 4 + 4 AS stop, n AS instructions, moves FROM runs WHERE done AND NOT broken AND moves >= 3 AND shows > 0""")
+def copper_scan(spark, sf_dir):
+    w = F.col("word")
+    first = F.when(w % 23 == 0, F.lit(65535)).when(w % 7 == 0, F.lit(2)).when(w % 5 == 0, (w * 31 % 65536).bitwiseOR(F.lit(1).cast("long"))).otherwise(256 + w % 96 * 2)
+    second = F.when(w % 23 == 0, F.lit(65534)).otherwise(w * 97 % 65536)
+    cells = _words(spark, sf_dir).select("source_id", F.struct("pos", F.lpad(F.hex((first * 65536 + second).cast("long")), 8, "0").alias("h")).alias("c"))
+    packed = cells.groupBy("source_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["h"]), "")).alias("content"))
+    return scans.copper_lists(packed)
+
+
 @query(f"""WITH {_WORDS}, span AS (SELECT max(word) // 5 AS low, max(word) AS high FROM words),
     hits AS (SELECT source_id, pos, word, low, pos - row_number() OVER (PARTITION BY source_id ORDER BY pos) AS island
         FROM words, span WHERE word <> 0 AND word >= low AND word < high)

@@ -47,6 +47,8 @@ def test_windows_and_carving(spark, tmp_path):
 def test_media_files(spark):
     pal = spark.createDataFrame([("p.png", [0x000, 0xFFF, 0x08F])], "path string, words array<int>")
     assert bytes(exports.swatch_files(pal, 2, 2).first()["content"])[:4] == b"\x89PNG"
+    spots = spark.createDataFrame([(0, 0), (2, 1), (9, 9)], "x long, y long")
+    assert bytes(exports.heatmap_files(spots, F.lit("h.png"), 3, 2).first()["content"])[:4] == b"\x89PNG"
     wav = spark.createDataFrame([("a.wav", bytearray(b"\0\1"), 8000)], "path string, pcm binary, sample_rate int")
     assert bytes(exports.wav_files(wav).first()["content"])[:4] == b"RIFF"
     src = spark.createDataFrame([("b", bytearray(b"x")), ("a", bytearray(b""))], "source_id string, content binary")

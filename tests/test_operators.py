@@ -47,6 +47,13 @@ def test_merge_gap(spark):
     assert [(r["start"], r["stop"], r["strings"]) for r in rows] == [(1, 13, 2), (25, 31, 1)]
 
 
+def test_display_lists(spark):
+    lst = bytes.fromhex("01001200 01800000 01820111 01840222 fffffffe")
+    rows = scans.copper_lists(sources(spark, b"\0\2\0\0" + lst + lst[:8] + lst[16:], b"")).collect()
+    assert [(r["start"], r["stop"], r["instructions"], r["moves"]) for r in rows] == [(4, 24, 5, 4)]
+    assert [(r["start"], r["stop"], r["kind"]) for r in scans.survey(sources(spark, lst)).collect()] == [(0, 20, "copper")]
+
+
 def test_pcm(spark):
     data = bytes(1024) + bytes(int(100 * math.sin(2 * math.pi * i / 32)) & 255 for i in range(2048)) + bytes(512)
     rows = scans.pcm_regions(sources(spark, data), 256, 512).collect()
