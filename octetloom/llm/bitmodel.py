@@ -29,7 +29,7 @@ STEPS = 33
 SLICES = 512
 SHARES = tuple((1 << b) // SLICES for b in TABLE_BITS)
 #: Bytes of a block, and of the first two; the mixer learns on every MIX_EVERY-th.
-BLOCK_BYTES, START_BYTES, MIX_EVERY = 1 << 22, 1 << 17, 5
+BLOCK_BYTES, START_BYTES, MIX_EVERY = 3 << 20, 1 << 17, 5
 #: Bytes whose bits are looked up together.
 STRIDE = 1 << 16
 PRIOR = np.float32(0.4)
@@ -93,6 +93,13 @@ class Vocabulary(dict):
         return n
 
 
+def _numbered(number: Vocabulary, words: list[bytes]) -> np.ndarray:
+    """The start's number, then those of the words."""
+    out = np.zeros(len(words) + 1, dtype=np.int64)
+    out[1:] = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    return out
+
+
 class Words:
     """Contexts of a list of words, made once for each."""
 
@@ -160,16 +167,18 @@ class Learner:
     are handled once, with their number."""
 
     def __init__(self):
-        self.counts = [np.zeros((1 << b, 2), dtype=np.uint32) for b in TABLE_BITS]
+        # A slot's two counts in one number: zeros in the low half, ones in the high.
+        self.counts = [np.zeros(1 << b, dtype=np.uint64) for b in TABLE_BITS]
         self.weights = np.full((INPUTS, GATES), 0.35)
         self.bend = np.zeros((GATES, INPUTS, INPUTS))
         self.map = np.zeros((2, 256 * STEPS), dtype=np.int64)
         self.mixed = self.blocks = self.size = 0
         self.texts: list[list[bytes]] = []
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes], size: int) -> None:
+        """Take a text's words; ``size``: about their bytes."""
         self.texts.append(words)
-        self.size += sum(map(len, words)) + len(words) + 1
+        self.size += size + 1
         if self.size >= (START_BYTES if self.blocks < 2 else BLOCK_BYTES):
             self.flush()
 
@@ -181,7 +190,7 @@ class Learner:
 
     def _block(self, mixing: bool) -> None:
         number = Vocabulary()
-        ids = [np.array([0, *map(number.__getitem__, t)], dtype=np.int64) for t in self.texts]
+        ids = [_numbered(number, t) for t in self.texts]
         words = Words(list(number))
         times = np.bincount(np.concatenate([t[1:] for t in ids]), minlength=len(number))
         last = np.bincount([t[-1] for t in ids], minlength=len(number))
@@ -206,15 +215,15 @@ class Learner:
             where = part.slots()
             if mixing:
                 self._learn_mixing(part, where, times)
-            turn = _byte_tables()[0][part.byte].astype(np.intp).ravel()
-            add = np.repeat(times.astype(np.uint32), 8)
+            ones = _byte_tables()[0][part.byte].astype(np.uint64) << np.uint64(5)
+            add = (times.astype(np.uint64)[:, None] << ones).ravel()
             for table, idx in zip(self.counts, where):
-                np.add.at(table.reshape(-1), 2 * idx.ravel() + turn, add)
+                np.add.at(table, idx.ravel(), add)
 
     def _learn_mixing(self, part: Places, where: list[np.ndarray], times: np.ndarray) -> None:
         bits, inputs = _byte_tables()[0][part.byte], []
         for table, idx in zip(self.counts, where):
-            seen = table[idx]
+            seen = table[idx].view(np.uint32).reshape(*idx.shape, 2)
             logs = seen.astype(np.float32)
             logs += PRIOR
             np.log(logs, out=logs)
@@ -248,7 +257,7 @@ class Learner:
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """What was learnt, as (number, packed) parts that ``add_part`` adds up."""
         self.flush()
-        tables = [t.reshape(SLICES, -1, 2) for t in self.counts]
+        tables = [t.view(np.uint32).reshape(SLICES, -1, 2) for t in self.counts]
         for k in range(SLICES):
             part = np.concatenate([t[k] for t in tables])
             some = np.flatnonzero(part.any(axis=1))
@@ -334,16 +343,13 @@ class Model:
 
 class Scorer:
     """Log10 probabilities of texts. What depends on a word alone is kept for
-    later texts; when more than MEMO words are kept, all are forgotten.
-    ``known`` gives a number for some words, which is summed up beside."""
+    later texts; when more than MEMO words are kept, all but those in ``known``
+    are forgotten, which also gives them numbers that are summed up beside."""
 
     MEMO = 500_000
 
     def __init__(self, model: Model, known: dict[bytes, float] | None = None):
         self.model, self.known = model, known or {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.number = Vocabulary()
         self.words: list[bytes] = []
         self.body = np.empty(0)  # the word after its first byte, with the space behind
@@ -352,6 +358,15 @@ class Scorer:
         self.head = np.empty(0, dtype=np.int64)
         self.before = [np.empty(0, dtype=np.uint64)] * INPUTS
 
+    def _forget(self) -> None:
+        kept = [i for i, w in enumerate(self.words) if not i or w in self.known]
+        words = [self.words[i] for i in kept]
+        self.number = Vocabulary()
+        self.number.update(zip(words, range(len(words))))
+        self.words = words
+        self.body, self.final, self.given, self.head = (x[kept] for x in (self.body, self.final, self.given, self.head))
+        self.before = [x[kept] for x in self.before]
+
     def _more(self) -> None:
         new = list(self.number)[len(self.words) :]
         words = Words(new)
@@ -375,12 +390,7 @@ class Scorer:
         """Each text's word numbers behind the start's."""
         if len(self.number) > self.MEMO:
             self._forget()
-        number = self.number.__getitem__
-        ids = []
-        for t in texts:
-            own = np.zeros(len(t) + 1, dtype=np.int64)
-            own[1:] = np.fromiter(map(number, t), dtype=np.int64, count=len(t))
-            ids.append(own)
+        ids = [_numbered(self.number, t) for t in texts]
         if len(self.number) > len(self.words):
             self._more()
         return ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     learner = Learner()
     for b in batches:
         for text in b["text"]:
-            learner.add(words_of(text))
+            learner.add(words_of(text), len(text or ""))
     if learner.blocks or learner.texts:
         for number, data in learner.parts():
             yield pd.DataFrame({"part": [number], "data": [data]})
@@ -57,6 +58,18 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"part": [number], "data": [finish_part(number, total)]})
 
 
+#: The scorer that this worker used last; its tasks share what it remembers.
+_last: tuple[str, Scorer] | None = None
+
+
+def _scorer(name: str, shared) -> Scorer:
+    global _last
+    if _last is None or _last[0] != name:
+        common, parts = shared.value
+        _last = name, Scorer(Model(parts), {w: float(np.log10(n + 1)) for w, n in common.items()})
+    return _last[1]
+
+
 def train(docs: DataFrame) -> dict[int, bytes]:
     """The context-mixing model of all texts of ``docs``: each task learns from
     its texts online; counts, the mixer's weights (by what it learnt them on)
@@ -108,10 +121,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         bytes(r["word"]): r["n"] for r in counts.where(F.floor(4 * F.log2("n")) >= bound).toLocalIterator()
     }
     shared = spark.sparkContext.broadcast((common, train(learning)))
+    name = uuid.uuid4().hex
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, parts = shared.value
-        scorer = Scorer(Model(parts), {w: float(np.log10(n + 1)) for w, n in common.items()})
+        scorer = _scorer(name, shared)
         for b in batches:
             for at in range(0, len(b), 512):
                 some = b.iloc[at : at + 512]

@@ -38,7 +38,7 @@ def test_query_matches_brute_force(spark, sf_dir):
 def model_of(texts):
     learner = Learner()
     for t in texts:
-        learner.add(words_of(t))
+        learner.add(words_of(t), len(t))
     return Model({k: finish_part(k, add_part(None, k, x)) for k, x in learner.parts()})
 
 
