@@ -129,11 +129,11 @@ def backward_slice(uses: DataFrame, seed: list, depth: int) -> DataFrame:
     grows with ``depth``: keep it to some tens."""
     spark = uses.sparkSession
     kind = dict(uses.dtypes)["used_by"]
-    edges = uses.select("used_by", "defined_by").distinct()
+    edges = uses.select("used_by", "defined_by").distinct().persist()
     found = spark.createDataFrame([(s, 0) for s in seed], f"node {kind}, depth int")
     frontier = found
     for level in range(1, depth + 1):
         reached = frontier.join(edges, frontier.node == edges.used_by).select(F.col("defined_by").alias("node")).distinct()
-        frontier = reached.join(found.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"))
+        frontier = reached.join(found.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth")).persist()
         found = found.unionByName(frontier)
     return found
