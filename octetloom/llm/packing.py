@@ -20,7 +20,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int, ordered: bool) -> Iterator[pd.DataFrame]:
     encoder = Encoder(path)
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
@@ -32,15 +32,20 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: i
                 piece = ids[a : a + step]
                 out.append((row, k, a // 4, len(piece) // 4, zlib.crc32(piece)))
         frame = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
-        frame.insert(0, "doc_id", b["doc_id"].astype("Int64").array[frame.pop("row").to_numpy(dtype=np.int64)])
+        row = frame.pop("row").to_numpy(dtype=np.int64)
+        frame.insert(0, "doc_id", b["doc_id"].astype("Int64").array[row])
+        if ordered:
+            frame["_place"] = b["_place"].to_numpy()[row]
         yield frame
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        lambda batches: _pieces(batches, path, capacity, end_id),
-        "doc_id long, piece int, start long, length long, ids_crc32 long",
+def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, order: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document's pieces, and
+    _place, the document's ``order`` (a long column), if one is given."""
+    place = [F.col(order).cast("long").alias("_place")] if order else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *place).mapInPandas(
+        lambda batches: _pieces(batches, path, capacity, end_id, bool(order)),
+        "doc_id long, piece int, start long, length long, ids_crc32 long" + (", _place long" if order else ""),
     )
 
 
@@ -117,7 +122,7 @@ def layout(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, dict[str,
     return {k: dict(zip(("rank", "sequence", "copies", "offset"), np.array(v, dtype=np.int64).T)) for k, v in runs.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1, order: str | None = None) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens.
 
     Returns, per piece, (doc_id, piece, start, length, ids_crc32, sequence_id,
@@ -132,16 +137,26 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     subset-sum dynamic programming finds the fullest combination. The plan goes
     back as runs of ranks within each length. Ranks are exact and dealt by
     hashed bucket, so one frequent length is no hot task.
+
+    With ``order`` (a column of numbers from 0, not null, such as a mixture's
+    position) the packing follows it: of the pieces of one length, those that
+    come first take the places that are planned first, and sequences are
+    numbered by the first in order of their pieces.
     """
     path = tokenizer or default_tokenizer()
-    cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    cut = materialize(pieces(docs, path, capacity, end_id, order), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     runs = layout(minimum_bin_slack(histogram, capacity))
     n = sum(histogram.values())
     buckets = buckets_for(n)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
+    if order:
+        last = cut.agg(F.max("_place")).first()[0] or 0
+        along = F.expr(f"_place div {last // buckets + 1}")
+        bucket, ties = along, [F.col("_place")]
+    else:
+        bucket, ties = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), []
     ranked = with_rank(
-        unclashing(cut, ["_rank"]), ["length"], bucket, [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank"
+        unclashing(cut, ["_rank"]), ["length"], bucket, [*ties, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank"
     ).drop("_rank_total")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,6 +171,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
                 offset[at] = run["offset"][i] + nth % run["copies"][i] * k
             yield b.drop(columns="_rank").assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInPandas(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    made = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if not order:
+        return ranked.select(*own, "_rank").mapInPandas(place, f"{made}, sequence_id long, offset long")
+    placed = materialize(
+        ranked.select(*own, "_place", "_rank").mapInPandas(place, f"{made}, _place long, sequence_id long, offset long"), "placed"
     )
+    first = placed.groupBy("sequence_id").agg(F.min("_place").alias("_place")).withColumn("_all", F.lit(0))
+    numbered = with_rank(first, ["_all"], along, [F.col("_place"), F.col("sequence_id")], "_number").select("sequence_id", "_number")
+    return placed.join(numbered, "sequence_id").select(*own, F.col("_number").alias("sequence_id"), "offset")

@@ -35,3 +35,33 @@ def test_stages_take_odd_rows(spark, sf_dir):
             docs = P.materialize(stage(spark, docs, sf_dir), "test")
         ids = {r["doc_id"] for r in docs.collect()}
         assert ids == ({1, 2, 3} if data else set())
+
+
+def test_packing_follows_the_mixture(spark, sf_dir, monkeypatch):
+    rows = [(i, f"text of document {i} " + "word " * (i % 7 * 300), "en", "ab"[i % 2], 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def places(weights):
+        monkeypatch.setattr(P, "MIX_WEIGHTS", weights)
+        out = docs
+        for _, stage in P.STAGES[-2:]:
+            out = P.materialize(stage(spark, out, sf_dir), "test")
+        return {(r["doc_id"], r["piece"]): (r["sequence_id"], r["offset"], r["length"]) for r in out.collect()}
+
+    some, other = places({"a": 9, "b": 1}), places({"a": 1, "b": 9})
+    assert some.keys() == other.keys() and some != other
+    for got, ahead in ((some, 0), (other, 1)):
+        sequences = {s for s, _, _ in got.values()}
+        assert sequences == set(range(len(sequences)))
+        # The heavier source comes first.
+        mean = [sum(s for (i, _), (s, _, _) in got.items() if i % 2 == k) for k in (0, 1)]
+        assert mean[ahead] < mean[1 - ahead]
+        taken = {}
+        for s, offset, length in got.values():
+            taken.setdefault(s, []).append((offset, length))
+        for spans in taken.values():
+            at = 0
+            for offset, length in sorted(spans):
+                assert offset == at
+                at += length
+            assert at <= 4096
