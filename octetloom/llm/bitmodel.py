@@ -28,8 +28,8 @@ STEPS = 33
 #: What is learnt travels in so many slices, each with its share of every table.
 SLICES = 512
 SHARES = tuple((1 << b) // SLICES for b in TABLE_BITS)
-#: Bytes of a block, and of the first two; the mixer learns on every MIX_EVERY-th.
-BLOCK_BYTES, START_BYTES, MIX_EVERY = 3 << 20, 1 << 17, 5
+#: Bytes of a block, and of the first two.
+BLOCK_BYTES, START_BYTES = 3 << 20, 1 << 17
 #: Bytes whose bits are looked up together.
 STRIDE = 1 << 16
 PRIOR = np.float32(0.4)
@@ -161,10 +161,10 @@ def _map_index(byte: np.ndarray, dot: np.ndarray) -> np.ndarray:
 
 
 class Learner:
-    """Learns from texts block by block. All blocks are counted; every
-    MIX_EVERY-th is predicted first, by the counts of those before it, and so
-    moves the mixing weights and the probability map. Equal words of a block
-    are handled once, with their number."""
+    """Learns from texts block by block. Each block is predicted, by the counts
+    of what comes before, and so moves the mixing weights and the probability
+    map; then it is counted. Equal words of a block are handled once, with
+    their number."""
 
     def __init__(self):
         # A slot's two counts in one number: zeros in the low half, ones in the high.
@@ -184,11 +184,11 @@ class Learner:
 
     def flush(self) -> None:
         if self.texts:
-            self._block(self.blocks % MIX_EVERY == 1)
+            self._block()
             self.blocks += 1
         self.texts, self.size = [], 0
 
-    def _block(self, mixing: bool) -> None:
+    def _block(self) -> None:
         number = Vocabulary()
         ids = [_numbered(number, t) for t in self.texts]
         words = Words(list(number))
@@ -198,23 +198,22 @@ class Learner:
         # The space behind a word is not seen where a text ends.
         many = np.repeat(times, counts)
         many[(counts.cumsum() - 1)[counts > 0]] -= last[counts > 0]
-        self._see(body, many, mixing)
-        self._see(words.ends(), last[words.sizes > 0], mixing)
+        self._see(body, many)
+        self._see(words.ends(), last[words.sizes > 0])
         head = np.zeros(len(number), dtype=np.int64)
         head[:] = words.data[words.start]
         head[0] = END[0]
         pair = np.concatenate([t[:-1] * 256 + head[t[1:]] if len(t) > 1 else [END[0]] for t in ids])
         pair, many = np.unique(pair, return_counts=True)
-        self._see(Places((pair & 255).astype(np.uint8), [c[pair >> 8] for c in words.before()], True), many, mixing)
+        self._see(Places((pair & 255).astype(np.uint8), [c[pair >> 8] for c in words.before()], True), many)
 
-    def _see(self, places: Places, many: np.ndarray, mixing: bool) -> None:
+    def _see(self, places: Places, many: np.ndarray) -> None:
         some = np.flatnonzero(many > 0)
         for i in range(0, len(some), STRIDE):
             at = some[i : i + STRIDE]
             part, times = places.part(at), many[at]
             where = part.slots()
-            if mixing:
-                self._learn_mixing(part, where, times)
+            self._learn_mixing(part, where, times)
             ones = _byte_tables()[0][part.byte].astype(np.uint64) << np.uint64(5)
             add = (times.astype(np.uint64)[:, None] << ones).ravel()
             for table, idx in zip(self.counts, where):

@@ -76,3 +76,16 @@ def test_odd_rows(spark):
     assert all(r["train_tokens"] == 50004 and r["n_known"] == r["n_tokens"] for r in rows)
     nothing = lm.score(spark.createDataFrame([(1, "a b", "", "")], schema), F.lit(True)).first()
     assert (nothing["n_known"], nothing["train_tokens"], nothing["base_score"]) == (0, 0, 0.0)
+
+
+def test_mixer_and_map_learn_on_all_of_the_text():
+    from octetloom.llm.bitmodel import BLOCK_BYTES, START_BYTES
+
+    for texts in (["a few words"], ["one two three"] * 5, ["some words of a text"] * ((2 * START_BYTES + 2 * BLOCK_BYTES) // 20)):
+        learner = Learner()
+        for t in texts:
+            learner.add(words_of(t), len(t))
+        parts = dict(learner.parts())
+        # One byte a place: each word's bytes with the space (or end) behind.
+        assert learner.mixed == sum(len(t) + 1 for t in texts)
+        assert -1 in parts and np.frombuffer(parts[-2], dtype=np.int64).sum() > 0
