@@ -22,18 +22,29 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 CLASS_BITS = (
     (r"^[0-9]+$", None),  # numbers are no secrets
-    (r"^[A-Za-z+/_=-]+$", None),  # without a digit: words
+    (r"^[a-z+/_=-]+$|^[A-Z+/_=-]+$", None),  # letters of one case: words
+    (r"^[A-Za-z+/_=-]+$", 3.75),
     (r"^[0-9a-f]+$|^[0-9A-F]+$", 3.0),
     (r"^[0-9a-z_-]+$|^[0-9A-Z_-]+$", 3.5),
     (r"", 3.75),
 )
-#: Candidates that match one of these are left alone.
+#: Words as in paths and names: of one case, or humps of three letters or more
+#: and some of two; in paths also numbers, and words with few digits behind.
+_WORD = r"([a-z]+|[A-Z]+|[A-Z][a-z]+|[A-Za-z][a-z]{2,}([A-Z][a-z]{2,}|As|At|By|Id|In|Is|No|Of|On|Or|To)+)"
+_NAME = rf"({_WORD}[0-9]{{0,3}}|[0-9]{{1,4}})"
+_PART = rf"[_-]*{_NAME}([_-]+{_NAME})*[_-]*"
+#: Candidates that match one of these as a whole are left alone.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
-    r"^/*[A-Za-z_-]+(/[A-Za-z0-9_-]+)+/*$",  # paths
-    r"^(sha1|sha256|sha384|sha512|md5)[-_=]",  # named digests
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-][0-9-]+)?",  # dates
-    r"^[A-Za-z]+([-_][A-Za-z]+)*[-_]?[0-9]{1,6}$",  # numbered names
+    rf"^/*{_PART}(/{_PART})+/*$",  # paths
+    r"^md5[-_=]([0-9a-fA-F]{32}|[A-Za-z0-9+/]{22}==)$",  # named digests, in hex or base64
+    r"^sha1[-_=]([0-9a-fA-F]{40}|[A-Za-z0-9+/]{27}=)$",
+    r"^sha256[-_=]([0-9a-fA-F]{64}|[A-Za-z0-9+/]{43}=)$",
+    r"^sha384[-_=]([0-9a-fA-F]{96}|[A-Za-z0-9+/]{64})$",
+    r"^sha512[-_=]([0-9a-fA-F]{128}|[A-Za-z0-9+/]{86}==)$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-][0-9-]+Z?)?$",  # dates
+    rf"^{_WORD}([-_]{_WORD})*[-_]?[0-9]{{1,6}}$",  # numbered names
+    rf"^[/_=+-]*{_WORD}([/_=+-]+{_WORD})*[/_=+-]*$",  # names of words
 )
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -86,7 +97,17 @@ def _window_span(bits: str) -> str:
         (acc, i) -> {grow.format(s=step, i='i')})"""
 
 
-def find(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def _outside(s: str) -> str:
+    """What of a candidate (s, start) lies outside the spans ``_base``, as such."""
+    cut = f"""array_sort(filter(_base, b -> b.start < {s}.start + length({s}.s) AND b.stop > {s}.start))"""
+    piece = "named_struct('s', substring({s}.s, cast(acc.at - {s}.start + 1 AS int), cast({e} - acc.at AS int)), 'start', acc.at)"
+    none = "cast(array() AS array<struct<s: string, start: bigint>>)"
+    return f"""aggregate({cut}, named_struct('at', {s}.start, 'out', {none}),
+        (acc, b) -> named_struct('at', greatest(acc.at, b.stop), 'out', IF(b.start > acc.at, concat(acc.out, array({piece.format(s=s, e='b.start')})), acc.out)),
+        acc -> filter(concat(acc.out, array({piece.format(s=s, e=f'({s}.start + length({s}.s))')})), x -> length(x.s) >= {WINDOW}))"""
+
+
+def find(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED, apart: bool = False) -> DataFrame:
     """Return ``docs`` with ``spans``: array of (start, rank, stop) in code
     points, sorted by start, then kind (rank indexes KINDS).
 
@@ -95,7 +116,9 @@ def find(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     overlapping within the kind; and ``entropy``: in a candidate string of 20
     characters or more that the ``allowed`` patterns do not match, the stretch
     from the first to the last window whose Shannon entropy reaches its
-    character class's bits, unless it overlaps a span of the other kinds.
+    character class's bits, unless it overlaps a span of the other kinds. With
+    ``apart``, what of a candidate lies outside those spans is a candidate of
+    its own instead, so nothing random-looking is lost by its neighbour.
 
     Null and empty texts have no spans; every row stays, repeated or not;
     an input column named ``spans`` is replaced. Nothing is shuffled.
@@ -118,8 +141,11 @@ def find(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     bits = "CASE " + " ".join(f"WHEN s.s RLIKE {_sql(p)} THEN {'cast(null AS double)' if b is None else f'{b}D'}" for p, b in CLASS_BITS) + " END"
     allow = " AND ".join(f"NOT s.s RLIKE {_sql(p)}" for p in allowed) or "true"
     clear = "NOT exists(_base, b -> b.start < {e} AND b.stop > {a})"
+    strings = "transform(_cs, (p, i) -> named_struct('s', _c[i], 'start', p.start))"
+    if apart:
+        strings = f"flatten(transform({strings}, w -> {_outside('w')}))"
     candidates = f"""filter(transform(
-            filter(transform(_cs, (p, i) -> named_struct('s', _c[i], 'start', p.start)), s -> {allow}),
+            filter({strings}, s -> {allow}),
             s -> named_struct('s', s.s, 'start', s.start, 'bits', {bits})), s -> s.bits IS NOT NULL)"""
     t = t.selectExpr("*", f"""IF(size(_c) > 0, filter(transform({candidates}, s ->
             transform(array(split(s.s, '')), c -> transform(array({_window_span('s.bits')}), g ->
@@ -140,10 +166,10 @@ def span_list(spans: str, base_only: bool = False) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Return ``docs`` with every span of ``find`` in the text replaced by
-    ``mark`` (overlapping spans by one), and ``n_chars``, if there, counted
+    """Return ``docs`` with every span of ``find`` (``apart``) in the text replaced
+    by ``mark`` (overlapping spans by one), and ``n_chars``, if there, counted
     anew in changed rows. Rows without secrets are left as they are, nulls too."""
-    rows = find(docs, text)
+    rows = find(docs, text, apart=True)
     mark_sql = _sql(mark)
     new = f"""aggregate(spans, named_struct('at', 0L, 'out', ''),
         (acc, s) -> IF(s.start < acc.at,
