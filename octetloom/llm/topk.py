@@ -74,9 +74,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     vector, or a null or non-finite component take no part; repeated ids are one
     row each; an empty table gives an empty result; other columns are ignored.
 
-    Equal vectors are merged first: of each distinct vector only the k + 1
-    smallest ids can be among anyone's k best, and each distinct query vector is
-    solved once. Then the Voronoi join: data and queries fall into the cells of
+    A query's id has m rows at most (1 if ids do not repeat), so its k partners
+    are among the k + m best rows. Equal vectors are merged first: of each
+    distinct vector only the k + m smallest ids can be among these, and each
+    distinct query vector is solved once. Then the Voronoi join: data and queries fall into the cells of
     a few pivots; a cell's summary (its radius and the members next to its
     pivot) gives each query a score that k partners reach at least, and by
     q.x <= q.p + |q| * radius the cells that cannot reach it. Data goes only to
@@ -90,9 +91,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
         F.col(key).cast("long").alias("id"), F.expr(f"transform(`{value}`, x -> cast(floor({int(scale)} * cast(x AS double)) AS bigint))").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("query"),
     )
-    first = Window.partitionBy("v").orderBy("id")
-    data = rows.select("id", "v").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
     asked = rows.where("query").select("id", "v")
+    # A query's own rows are dropped from the best ones, so as many more are kept.
+    own = rows.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").count().agg(F.max("count")).first()[0]
+    keep = k + (own or 1)
+    first = Window.partitionBy("v").orderBy("id")
+    data = rows.select("id", "v").withColumn("n", F.row_number().over(first)).where(F.col("n") <= keep).drop("n")
     distinct = materialize(asked.groupBy("v").agg(F.min("id").alias("qid"), F.expr(f"cast(count(*) div {SHARED_BY} + 1 AS int)").alias("parts")), "queries")
     members = asked.join(distinct, "v").select("id", "qid", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).distinct()
 
@@ -123,8 +127,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
             q = _matrix(b["v"], width)
             home, _ = _cells(pivots, q)
             s = products(q, sample)
-            # One of the k + 1 may be the query itself.
-            least = -np.partition(-s, k, axis=1)[:, k] if s.shape[1] > k else np.full(len(q), -np.inf)
+            # All but k of them may be the query's own rows.
+            least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1] if s.shape[1] >= keep else np.full(len(q), -np.inf)
             most = products(q, pivots) + np.linalg.norm(q.astype(np.float64), axis=1)[:, None] * radius[None, :]
             need = most * (1 + 1e-9) + 1e-6 >= least[:, None]
             yield pd.DataFrame({"qid": b["qid"], "qv": b["v"], "home": home.astype(np.int32), "need": [np.flatnonzero(x).astype(np.int32) for x in need]})
@@ -152,12 +156,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "id": [], "score": []}, dtype="int64")
-        i, ids, scores = best(_matrix(left["qv"], width), _matrix(right["v"], width), right["id"].to_numpy(), k + 1)
+        i, ids, scores = best(_matrix(left["qv"], width), _matrix(right["v"], width), right["id"].to_numpy(), keep)
         return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "id": ids, "score": scores})
 
     local = everywhere.groupBy("grp", "block").cogroup(replicas.groupBy("grp", "block")).applyInPandas(solve, "qid long, id long, score long")
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    solved = materialize(local.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n"), "solved")
+    solved = materialize(local.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= keep).drop("n"), "solved")
     # A vector that many queries ask for is handed to them in parts.
     shares = solved.join(distinct.select("qid", "parts"), "qid").select("qid", "id", "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = members.withColumnRenamed("id", "query_id").join(shares, ["qid", "part"]).where("query_id <> id")

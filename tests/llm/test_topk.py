@@ -53,3 +53,16 @@ def test_large_components_stay_exact():
     a = np.array([[2**40, 3]], dtype=np.int64)
     b = np.array([[2**20, 5], [1, 1]], dtype=np.int64)
     assert topk.products(a, b).tolist() == [[2**60 + 15, 2**40 + 3]]
+
+
+def test_repeated_query_rows_cost_no_partners(spark):
+    rng = np.random.default_rng(8)
+    rows = [(20, [9.0, 9.0, 9.0])] * 25 + [(40, [8.0, 8.0, 8.0])] * 2 + [(i, rng.normal(size=3).tolist()) for i in range(100, 400) if i % 20]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    want = {}
+    for q in (20, 40):
+        a = [math.floor(64 * x) for x in dict(rows)[q]]
+        scored = sorted((-sum(x * math.floor(64 * y) for x, y in zip(a, v)), i) for i, v in rows if i != q)[:20]
+        want[q] = [(n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    for q in (20, 40):
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == want[q]
