@@ -65,3 +65,12 @@ def test_packing_follows_the_mixture(spark, sf_dir, monkeypatch):
                 assert offset == at
                 at += length
             assert at <= 4096
+
+
+def test_near_dedup_keeps_every_group_whatever_its_ids(spark, sf_dir):
+    texts = {(1, "one unlike text of some words"), (1, "another text that has the same id"), (None, "a text without an id"), (None, "and one more of these"), (2, "the last one")}
+    rows = [(i, t, "en", "a", len(t)) for i, t in texts] + [(9, "A  text without an id", "en", "a", 0), (1, "the last one", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, sf_dir).collect()), key=str)
+    want = texts - {(None, "a text without an id"), (2, "the last one")} | {(9, "A  text without an id"), (1, "the last one")}
+    assert got == sorted(want, key=str)
