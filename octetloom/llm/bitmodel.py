@@ -1,272 +1,261 @@
-"""A bitwise language model: online logistic mixing of hashed contexts."""
+"""A bitwise language model: online logistic mixing of hashed contexts.
+
+Symbols (words, or the bytes of a word) are spelled in the bits of a Huffman
+code. Several predictors give each bit's log odds from the counts that their
+context saw at this place of the code; weights gated by the place's depth and
+the last predictor's experience add them up, and an adaptive map refines the
+probability.
+"""
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-
-from .quality import _powers
-
-#: Contexts of a byte inside a word: the last bytes of these orders (not past
-#: the word's start), then the whole word so far. Contexts of a word's first
-#: byte: the last bytes of these orders of the word before, then that word.
-INSIDE, FIRST = (2, 3, 5), (1, 2, 3)
-INPUTS = len(INSIDE) + 1
-PAD = max(INSIDE)
-#: Slots of each context's table, as powers of two; a row of 16 holds a nibble.
-TABLE_BITS = (18, 20, 22, 23)
-#: How often the longest context was seen, in levels by these bounds.
-LEVELS = (1, 3, 10, 50, 500)
-#: Weight sets: bit of the byte, first byte or not, level of the longest context.
-GATES = 8 * 2 * (len(LEVELS) + 1)
+
+#: How often the last predictor saw its context, in levels by these bounds.
+LEVELS = (1, 2, 4, 8, 20, 60, 200)
+#: Depths in the code that have weights of their own; deeper ones share the last.
+DEPTHS = 12
+GATES = DEPTHS * (len(LEVELS) + 1)
 #: Steps of the adaptive probability map along the mixer's log odds.
 STEPS = 33
-#: What is learnt travels in so many slices, each with its share of every table.
-SLICES = 512
-SHARES = tuple((1 << b) // SLICES for b in TABLE_BITS)
-#: Bytes of a block, and of the first two.
-BLOCK_BYTES, START_BYTES = 3 << 20, 1 << 17
-#: Bytes whose bits are looked up together.
-STRIDE = 1 << 16
+#: Slots of the counts that travel together.
+SLICE = 1 << 16
+#: Symbols of a learner's first block and of its largest one; each is twice the one before.
+FIRST_BLOCK, LARGEST_BLOCK = 1 << 11, 1 << 20
+#: Bits that are looked up together.
+STRIDE = 1 << 15
 PRIOR = np.float32(0.4)
 #: Memory of the mixer's curvature from block to block, and its damping.
-KEEP, DAMP = 0.8, 50.0
-#: Fractions of the log odds that a finished model keeps in a byte.
-FINE = 12
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
-SPACE, END = b" ", b"\n"
+KEEP, DAMP = 0.98, 50.0
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_32 = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
+SPACE = b" "
 
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of the text, A-Z lower-cased; bytes know ASCII white space only."""
-    return (text or "").encode().lower().split()
-
-
-@cache
-def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte and bit: the bit, its node in the nibble, in the byte."""
-    b, bit = np.arange(256)[:, None], np.arange(8)[None, :]
-    nibble = np.where(bit < 4, b >> 4, b & 15)
-    part = (1 << (bit & 3)) | (nibble >> (4 - (bit & 3)))
-    whole = (1 << bit) | (b >> (8 - bit))
-    return ((b >> (7 - bit)) & 1).astype(np.float32), part.astype(np.int32), whole.astype(np.int32)
-
-
-class Places:
-    """Bytes to predict: their values, contexts (one array an input), and
-    whether each is the first of a word."""
-
-    def __init__(self, byte: np.ndarray, contexts: list[np.ndarray], first: bool):
-        self.byte, self.contexts, self.first = byte, contexts, first
-
-    def part(self, at: slice) -> Places:
-        return Places(self.byte[at], [c[at] for c in self.contexts], self.first)
-
-    def slots(self) -> list[np.ndarray]:
-        """For each input, the table slots (a row of eight) of the bytes' bits."""
-        nodes, out = _byte_tables()[1][self.byte], []
-        high = (self.byte >> 4).astype(np.uint64) * _ODD[2]
-        for i, value in enumerate(self.contexts):
-            shift = np.uint64(64 - TABLE_BITS[i] + 4)
-            h = (value + np.uint64(2 * i + 1 + self.first)) * _ODD[0]
-            h = (h ^ (h >> np.uint64(32))) * _ODD[1]
-            second = (h ^ high) * _ODD[0]
-            second = (second ^ (second >> np.uint64(29))) * _ODD[1]
-            rows = np.stack([h >> shift, second >> shift], axis=1).astype(np.int32) << 4
-            out.append(np.repeat(rows, 4, axis=1) + nodes)
-        return out
-
-
-class Vocabulary(dict):
-    """word -> number, in order of first sight. Number 0 is the start."""
-
-    def __init__(self):
-        super().__init__()
-        self[b""] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _numbered(number: Vocabulary, words: list[bytes]) -> np.ndarray:
-    """The start's number, then those of the words."""
-    out = np.zeros(len(words) + 1, dtype=np.int64)
-    out[1:] = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-    return out
-
-
-class Words:
-    """Contexts of a list of words, made once for each."""
-
-    def __init__(self, words: list[bytes]):
-        parts = [SPACE * PAD + w + SPACE for w in words]
-        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
-        wide = self.sizes + PAD + 1
-        self.data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        self.start = wide.cumsum() - wide + PAD
-        n = len(self.data)
-        up, down = _powers(1 << max(16, int(n).bit_length()))
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
-        self.down = down
-
-    def _last(self, at: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
-        value, out = np.zeros(len(at), dtype=np.uint64), []
-        for back in range(1, max(orders) + 1):
-            value = (value << np.uint64(8)) | self.data[at - back]
-            if back in orders:
-                out.append(value)
-        return out
-
-    def inside(self) -> tuple[Places, np.ndarray]:
-        """Places after each word's first byte, the space behind it last, and
-        how many each word has. The empty word has none."""
-        counts = self.sizes.copy()
-        own = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(own)) - np.repeat(counts.cumsum() - counts, counts) + self.start[own] + 1
-        start = self.start[own]
-        return Places(self.data[at], [*self._last(at, INSIDE), (self.sums[at] - self.sums[start]) * self.down[start]], False), counts
-
-    def ends(self) -> Places:
-        """The place behind each word (not the empty one), for a text's end."""
-        some = self.sizes > 0
-        at, start = (self.start + self.sizes)[some], self.start[some]
-        return Places(np.full(len(at), END[0], np.uint8), [*self._last(at, INSIDE), (self.sums[at] - self.sums[start]) * self.down[start]], False)
-
-    def before(self) -> list[np.ndarray]:
-        """What each word tells about the next one's first byte."""
-        at = self.start + self.sizes
-        return [*self._last(at, FIRST), (self.sums[at] - self.sums[self.start]) * self.down[self.start]]
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class Code:
+    """The Huffman code of symbols 0.. with these weights (ties by number):
+    for each symbol a run of places, each with the bit in bit 0, its depth in
+    bits 1 to 4, and the node of the tree above."""
+
+    def __init__(self, weights: list[int]):
+        n = len(weights)
+        heap = [(w, i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(max(2 * n - 1, 1), dtype=np.int64), np.zeros(max(2 * n - 1, 1), dtype=bool)
+        new = n
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[[i, j]], side[j] = new, True
+            heapq.heappush(heap, (a + b, new))
+            new += 1
+        self.nodes = max(n - 1, 1)
+        paths = []
+        at, depth = np.arange(n), np.zeros(n, dtype=np.int64)
+        while True:
+            some = at < new - 1
+            if not some.any():
+                break
+            paths.append((np.where(some, parent[at] - n, -1), side[at]))
+            depth += some
+            at = np.where(some, parent[at], at)
+        self.size = depth.astype(np.int32)
+        self.start = (depth.cumsum() - depth).astype(np.int32)
+        total = int(depth.sum())
+        self.places = np.zeros(total, dtype=np.int32)
+        for up, (node, bit) in enumerate(paths):  # leaf first
+            some = np.flatnonzero(node >= 0)
+            level = depth[some] - 1 - up
+            place = self.start[some] + level
+            self.places[place] = (node[some] << 5) | (np.minimum(level, DEPTHS - 1) << 1) | bit[some]
+
+
+@dataclass(frozen=True)
+class Predictor:
+    """Slots of a predictor: ``contexts`` times the code's nodes, or 2**bits hashed ones."""
+
+    contexts: int = 0
+    bits: int = 0
+
+
+class Shape:
+    """A code and its predictors, whose slots lie behind each other."""
+
+    def __init__(self, code: Code, predictors: list[Predictor]):
+        self.code, self.predictors = code, predictors
+        sizes = [p.contexts * code.nodes if p.contexts else 1 << p.bits for p in predictors]
+        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.slots = int(self.base[-1])
+
+    def bits(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Pieces of (symbols, each one's number of bits, the bits, their depth, slots by predictor)."""
+        code, heads = self.code, []
+        for p, base, c in zip(self.predictors, self.base, contexts):
+            if p.contexts:
+                heads.append((c * code.nodes + base).astype(np.int32))
+            else:
+                h = (c.astype(np.uint64) + np.uint64(1)) * _ODD
+                heads.append((h >> np.uint64(32)).astype(np.uint32))
+        many = max(1, int(STRIDE / max(1, code.size[symbols].mean()))) if len(symbols) else 1
+        for i in range(0, len(symbols), many):
+            piece = slice(i, i + many)
+            some = symbols[piece]
+            size = code.size[some]
+            ends = size.cumsum(dtype=np.int32)
+            place = np.repeat(code.start[some] - ends + size, size)
+            place += np.arange(len(place), dtype=np.int32)
+            packed = code.places[place]
+            node, slots = packed >> 5, []
+            key = node.view(np.uint32) * _ODD_32[1]
+            for p, base, head in zip(self.predictors, self.base, heads):
+                h = np.repeat(head[piece], size)
+                if p.contexts:
+                    h += node
+                else:
+                    h ^= key
+                    h ^= h >> np.uint32(15)
+                    h *= _ODD_32[0]
+                    h >>= np.uint32(32 - p.bits)
+                    h = h.view(np.int32)
+                    h += np.int32(base)
+                slots.append(h)
+            yield piece, size, (packed & 1).astype(np.float32), (packed >> 1) & 15, slots
+
+
+def _dot(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = weights[0][gate] * inputs[0]
+    for w, x in zip(weights[1:], inputs[1:]):
+        out += w[gate] * x
+    return np.clip(out, -14, 14, out=out)
 
 
-def _level(seen: np.ndarray) -> np.ndarray:
-    return np.searchsorted(LEVELS, seen, side="right")
+def _squash(dot: np.ndarray) -> np.ndarray:
+    p = np.exp(-dot)
+    p += 1
+    return np.divide(1, p, out=p)
 
 
-def _mix(inputs: list[np.ndarray], level: np.ndarray, weights: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    gate = (level.astype(np.int32) * 2 + int(first)) * 8 + np.arange(8, dtype=np.int32)
-    dot = weights[0][gate] * inputs[0]
-    for w, x in zip(weights[1:], inputs[1:]):
-        dot += w[gate] * x
-    return gate, np.clip(dot, -12, 12, out=dot)
+def _gate(depth: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return level * DEPTHS + depth.astype(np.intp)
+
+
+def _map_index(gate: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    return gate * STEPS + (dot * np.float32(1.5) + np.float32(STEPS // 2 + 0.5)).clip(0, STEPS - 1).astype(np.intp)
 
 
-def _map_index(byte: np.ndarray, dot: np.ndarray) -> np.ndarray:
-    return _byte_tables()[2][byte] * STEPS + np.rint(dot * 2 + STEPS // 2).clip(0, STEPS - 1).astype(np.int32)
+_LEVEL_OF = np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), side="right")
+
+
+def _level(seen: np.ndarray) -> np.ndarray:
+    return _LEVEL_OF[np.minimum(seen, LEVELS[-1])]
 
 
 class Learner:
-    """Learns from texts block by block. Each block is predicted, by the counts
-    of what comes before, and so moves the mixing weights and the probability
-    map; then it is counted. Equal words of a block are handled once, with
-    their number."""
+    """Learns a shape's model from symbols block by block. Each block is
+    predicted from the counts of what comes before, and so moves the mixing
+    weights and the probability map; then it is counted. Equal symbols in equal
+    contexts are handled once a block, with their number."""
 
-    def __init__(self):
+    def __init__(self, shape: Shape):
+        self.shape, inputs = shape, len(shape.predictors)
         # A slot's two counts in one number: zeros in the low half, ones in the high.
-        self.counts = [np.zeros(1 << b, dtype=np.uint64) for b in TABLE_BITS]
-        self.weights = np.full((INPUTS, GATES), 0.35)
-        self.bend = np.zeros((GATES, INPUTS, INPUTS))
-        self.map = np.zeros((2, 256 * STEPS), dtype=np.int64)
-        self.mixed = self.blocks = self.size = 0
-        self.texts: list[list[bytes]] = []
-
-    def add(self, words: list[bytes], size: int) -> None:
-        """Take a text's words; ``size``: about their bytes."""
-        self.texts.append(words)
-        self.size += size + 1
-        if self.size >= (START_BYTES if self.blocks < 2 else BLOCK_BYTES):
-            self.flush()
+        self.counts = np.zeros(shape.slots, dtype=np.uint64)
+        self.weights = np.full((inputs, GATES), 1.2 / inputs)
+        self.bend = np.zeros((GATES, inputs, inputs))
+        self.map = np.zeros((2, GATES * STEPS), dtype=np.int64)
+        self.mixed = 0
+        self.waiting: list[list[np.ndarray]] = []
+        self.size, self.block = 0, FIRST_BLOCK
+
+    def add(self, symbols: np.ndarray, contexts: list[np.ndarray], key: np.ndarray) -> None:
+        """Take symbols and, for each predictor, their contexts (from 0);
+        ``key`` is one number for each combination of these."""
+        rows = [key, symbols, *contexts]
+        while len(rows[0]):
+            n = self.block - self.size
+            self.waiting.append([x[:n] for x in rows])
+            self.size += len(self.waiting[-1][0])
+            rows = [x[n:] for x in rows]
+            if self.size == self.block:
+                self.flush()
+                self.block = min(2 * self.block, LARGEST_BLOCK)
 
     def flush(self) -> None:
-        if self.texts:
-            self._block()
-            self.blocks += 1
-        self.texts, self.size = [], 0
-
-    def _block(self) -> None:
-        number = Vocabulary()
-        ids = [_numbered(number, t) for t in self.texts]
-        words = Words(list(number))
-        times = np.bincount(np.concatenate([t[1:] for t in ids]), minlength=len(number))
-        last = np.bincount([t[-1] for t in ids], minlength=len(number))
-        body, counts = words.inside()
-        # The space behind a word is not seen where a text ends.
-        many = np.repeat(times, counts)
-        many[(counts.cumsum() - 1)[counts > 0]] -= last[counts > 0]
-        self._see(body, many)
-        self._see(words.ends(), last[words.sizes > 0])
-        head = np.zeros(len(number), dtype=np.int64)
-        head[:] = words.data[words.start]
-        head[0] = END[0]
-        pair = np.concatenate([t[:-1] * 256 + head[t[1:]] if len(t) > 1 else [END[0]] for t in ids])
-        pair, many = np.unique(pair, return_counts=True)
-        self._see(Places((pair & 255).astype(np.uint8), [c[pair >> 8] for c in words.before()], True), many)
-
-    def _see(self, places: Places, many: np.ndarray) -> None:
-        some = np.flatnonzero(many > 0)
-        for i in range(0, len(some), STRIDE):
-            at = some[i : i + STRIDE]
-            part, times = places.part(at), many[at]
-            where = part.slots()
-            self._learn_mixing(part, where, times)
-            ones = _byte_tables()[0][part.byte].astype(np.uint64) << np.uint64(5)
-            add = (times.astype(np.uint64)[:, None] << ones).ravel()
-            for table, idx in zip(self.counts, where):
-                np.add.at(table, idx.ravel(), add)
-
-    def _learn_mixing(self, part: Places, where: list[np.ndarray], times: np.ndarray) -> None:
-        bits, inputs = _byte_tables()[0][part.byte], []
-        for table, idx in zip(self.counts, where):
-            seen = table[idx].view(np.uint32).reshape(*idx.shape, 2)
+        if self.size:
+            key, symbols, *contexts = (np.concatenate(x) for x in zip(*self.waiting))
+            self.waiting, self.size = [], 0
+            at, ends, _ = distinct(key)
+            self._see(symbols[at], [c[at] for c in contexts], np.diff(ends, prepend=0))
+
+    def _see(self, symbols: np.ndarray, contexts: list[np.ndarray], times: np.ndarray) -> None:
+        for piece, size, bit, depth, slots in self.shape.bits(symbols, contexts):
+            often = np.repeat(times[piece], size)
+            self._mix(bit, depth, slots, often)
+            add = often.astype(np.uint64) << (bit.astype(np.uint64) << np.uint64(5))
+            for s in slots:
+                np.add.at(self.counts, s, add)
+
+    def _mix(self, bit: np.ndarray, depth: np.ndarray, slots: list[np.ndarray], often: np.ndarray) -> None:
+        inputs = []
+        for s in slots:
+            seen = self.counts[s].view(np.uint32)
             logs = seen.astype(np.float32)
             logs += PRIOR
             np.log(logs, out=logs)
-            inputs.append(logs[..., 1] - logs[..., 0])
-        often = seen.sum(axis=2)
-        gate, dot = _mix(inputs, _level(often), self.weights, part.first)
-        index = _map_index(part.byte, dot).ravel()
-        p = 1 / (1 + np.exp(-dot))
-        # Of a new word's repeats only the first meets these counts.
-        each = np.minimum(np.repeat(times, 8), 1 + often.ravel().astype(np.int64)).astype(np.float32)
-        gate, error, spread = gate.ravel(), (bits - p).ravel() * each, (p * (1 - p)).ravel() * each
+            inputs.append(logs[1::2] - logs[::2])
+        before = seen[1::2] + seen[::2]
+        gate = _gate(depth, _level(before))
+        dot = _dot(inputs, gate, self.weights.astype(np.float32))
+        p = _squash(dot)
+        # Of a new context's repeats only the first meets these counts.
+        each = np.minimum(often, 1 + before).astype(np.float32)
+        error, spread = (bit - p) * each, p * (1 - p) * each
         # An online Newton step for each weight set, by a fading memory of curvature.
-        # Sorted by weight set, each set's sums are products of matrices.
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        flat = np.stack([x.ravel() for x in inputs], axis=1)[order]
-        bent = flat * spread[order, None]
-        ends = np.bincount(gate, minlength=GATES).cumsum()
-        slope, bend = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
-        error = error[order]
-        for g, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-            if a < z:
-                slope[g], bend[g] = error[a:z] @ flat[a:z], flat[a:z].T @ bent[a:z]
+        slope = np.stack([np.bincount(gate, error * x, minlength=GATES) for x in inputs], axis=1)
+        bend = np.zeros_like(self.bend)
+        for i, x in enumerate(inputs):
+            scaled = spread * x
+            for j, y in enumerate(inputs[: i + 1]):
+                bend[:, i, j] = bend[:, j, i] = np.bincount(gate, scaled * y, minlength=GATES)
         self.bend = KEEP * self.bend + bend
-        step = np.linalg.solve(self.bend + DAMP * np.eye(INPUTS), slope[:, :, None])[:, :, 0]
-        self.weights = np.clip(self.weights + step.T, -0.5, 2.0)
+        step = np.linalg.solve(self.bend + DAMP * np.eye(len(inputs)), slope[:, :, None])[:, :, 0]
+        self.weights = np.clip(self.weights + step.T, -1.0, 2.0)
+        index = _map_index(gate, dot)
         total = np.bincount(index, each, minlength=self.map.shape[1])
-        ones = np.bincount(index, bits.ravel() * each, minlength=self.map.shape[1])
+        ones = np.bincount(index, bit * each, minlength=self.map.shape[1])
         self.map += np.stack([total - ones, ones]).astype(np.int64)
-        self.mixed += int(times.sum())
+        self.mixed += len(bit)
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """What was learnt, as (number, packed) parts that ``add_part`` adds up."""
         self.flush()
-        tables = [t.view(np.uint32).reshape(SLICES, -1, 2) for t in self.counts]
-        for k in range(SLICES):
-            part = np.concatenate([t[k] for t in tables])
-            some = np.flatnonzero(part.any(axis=1))
+        for k in range(0, self.shape.slots, SLICE):
+            part = self.counts[k : k + SLICE]
+            some = np.flatnonzero(part)
             if len(some):
-                yield k, _packed(some, part[some])
+                yield k // SLICE, _packed(some, part[some].view(np.uint32).reshape(-1, 2))
         if self.mixed:
             yield -1, np.concatenate([[self.mixed], (self.weights * self.mixed).ravel()]).tobytes()
             yield -2, self.map.tobytes()
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key, in order; where it ends in the order; the
+    order). Near keys come together, and so do many of their slots."""
+    order = np.argsort(key)
+    ends = np.flatnonzero(np.diff(key[order], append=key[order[-1:]] + 1)) + 1
+    return order[ends - 1], ends, order
+
+
 def _packed(some: np.ndarray, counts: np.ndarray) -> bytes:
     """Slots as gaps, their counts as two half bytes; larger counts behind."""
     gap = np.diff(some, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)
@@ -291,132 +280,58 @@ def add_part(total: np.ndarray | None, number: int, data: bytes) -> np.ndarray:
         return part.copy() if total is None else total + part
     some, counts = _unpacked(data)
     if total is None:
-        total = np.zeros((sum(SHARES), 2), dtype=np.int64)
+        total = np.zeros((SLICE, 2), dtype=np.int64)
     total[some] += counts
     return total
 
 
 def finish_part(number: int, total: np.ndarray) -> bytes:
+    """A part as the finished model keeps it: log odds, and levels of experience."""
     if number < 0:
         return total.tobytes()
     odds = np.log(total[:, 1] + float(PRIOR)) - np.log(total[:, 0] + float(PRIOR))
-    fine = np.rint(odds * FINE).clip(-127, 127).astype(np.int8)
-    return fine.tobytes() + _level(total.sum(axis=1)[-SHARES[-1] :]).astype(np.int8).tobytes()
+    # The lowest bits of a number's fraction hold the level.
+    return ((odds.astype(np.float32).view(np.int32) & ~7) | _level(total.sum(axis=1))).astype(np.int32).tobytes()
 
 
 class Model:
-    """A finished model, from its parts (missing ones were never seen)."""
-
-    def __init__(self, parts: dict[int, bytes]):
-        self.tables, at = [], 0
-        for share in (*SHARES, SHARES[-1]):  # the levels of the last table come last
-            table = np.zeros((SLICES, share), dtype=np.int8)
-            for k in range(SLICES):
-                if k in parts:
-                    table[k] = np.frombuffer(parts[k], dtype=np.int8, count=share, offset=at)
-            self.tables.append(table.reshape(-1))
-            at += share
-        self.levels = self.tables.pop()
-        self.weights = np.full((INPUTS, GATES), 0.35, dtype=np.float32)
+    """A finished model, from its parts (missing ones were never seen). A slot's
+    number is its log odds, with the level of experience in the lowest bits."""
+
+    def __init__(self, shape: Shape, parts: dict[int, bytes]):
+        self.shape, inputs = shape, len(shape.predictors)
+        odds = np.zeros((-(-shape.slots // SLICE), SLICE), dtype=np.float32)
+        for k in range(len(odds)):
+            if k in parts:
+                odds[k] = np.frombuffer(parts[k], dtype=np.float32)
+        self.odds = odds.reshape(-1)
+        self.weights = np.full((inputs, GATES), 1.2 / inputs, dtype=np.float32)
         if -1 in parts:
             sums = np.frombuffer(parts[-1], dtype=np.float64)
-            self.weights = (sums[1:] / sums[0]).reshape(INPUTS, GATES).astype(np.float32)
-        seen = np.zeros((2, 256 * STEPS), dtype=np.int64)
+            self.weights = (sums[1:] / sums[0]).reshape(inputs, GATES).astype(np.float32)
+        seen = np.zeros((2, GATES * STEPS), dtype=np.int64)
         if -2 in parts:
             seen = np.frombuffer(parts[-2], dtype=np.int64).reshape(seen.shape)
-        start = 1 / (1 + np.exp(-np.tile((np.arange(STEPS) - STEPS // 2) / 2, 256)))
+        start = 1 / (1 + np.exp(-np.tile((np.arange(STEPS) - STEPS // 2) / 1.5, GATES)))
         self.map = ((seen[1] + 8 * start) / (seen.sum(axis=0) + 8)).astype(np.float32)
 
-    def logs(self, places: Places) -> np.ndarray:
-        """Log probability of each byte."""
-        out = np.empty(len(places.byte))
-        for i in range(0, len(out), STRIDE):
-            part = places.part(slice(i, i + STRIDE))
-            where = part.slots()
-            inputs = [t[idx].astype(np.float32) / FINE for t, idx in zip(self.tables, where)]
-            _, dot = _mix(inputs, self.levels[where[-1]], self.weights, part.first)
-            p = (1 / (1 + np.exp(-dot)) + self.map[_map_index(part.byte, dot)]) / 2
-            out[i : i + STRIDE] = np.log(np.where(_byte_tables()[0][part.byte] > 0, p, 1 - p)).sum(axis=1, dtype=np.float64)
-        return out
-
-
-class Scorer:
-    """Log10 probabilities of texts. What depends on a word alone is kept for
-    later texts; when more than MEMO words are kept, all but those in ``known``
-    are forgotten, which also gives them numbers that are summed up beside."""
-
-    MEMO = 500_000
-
-    def __init__(self, model: Model, known: dict[bytes, float] | None = None):
-        self.model, self.known = model, known or {}
-        self.number = Vocabulary()
-        self.words: list[bytes] = []
-        self.body = np.empty(0)  # the word after its first byte, with the space behind
-        self.final = np.empty(0)  # the same with a text's end behind
-        self.given = np.empty(0)
-        self.head = np.empty(0, dtype=np.int64)
-        self.before = [np.empty(0, dtype=np.uint64)] * INPUTS
-
-    def _forget(self) -> None:
-        kept = [i for i, w in enumerate(self.words) if not i or w in self.known]
-        words = [self.words[i] for i in kept]
-        self.number = Vocabulary()
-        self.number.update(zip(words, range(len(words))))
-        self.words = words
-        self.body, self.final, self.given, self.head = (x[kept] for x in (self.body, self.final, self.given, self.head))
-        self.before = [x[kept] for x in self.before]
-
-    def _more(self) -> None:
-        new = list(self.number)[len(self.words) :]
-        words = Words(new)
-        places, counts = words.inside()
-        logs = self.model.logs(places)
-        body = np.zeros(len(new))
-        some = counts > 0
-        body[some] = np.add.reduceat(logs, (counts.cumsum() - counts)[some]) if some.any() else 0
-        final = body.copy()
-        final[some] += self.model.logs(words.ends()) - logs[(counts.cumsum() - 1)[some]]
-        head = words.data[words.start].astype(np.int64)
-        if not self.words:
-            head[0] = END[0]
-        self.words += new
-        self.body, self.final = np.concatenate([self.body, body]), np.concatenate([self.final, final])
-        self.given = np.concatenate([self.given, [self.known.get(w, np.nan) for w in new]])
-        self.head = np.concatenate([self.head, head])
-        self.before = [np.concatenate(x) for x in zip(self.before, words.before())]
-
-    def _numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Each text's word numbers behind the start's."""
-        if len(self.number) > self.MEMO:
-            self._forget()
-        ids = [_numbered(self.number, t) for t in texts]
-        if len(self.number) > len(self.words):
-            self._more()
-        return ids
-
-    def given_sums(self, ids: list[np.ndarray]) -> Iterator[tuple[float, list[bytes], list[int]]]:
-        """For each text, the sum of its words' known numbers, the words without
-        one and how often each of these comes."""
-        for t in ids:
-            values = self.given[t[1:]]
-            lacking = np.isnan(values)
-            rest, often = np.unique(t[1:][lacking], return_counts=True)
-            yield float(values[~lacking].sum()), [self.words[i] for i in rest], often.tolist()
-
-    def log10(self, ids: list[np.ndarray]) -> np.ndarray:
-        before = np.concatenate([t[:-1] if len(t) > 1 else t for t in ids])
-        own = np.concatenate([t[1:] if len(t) > 1 else t for t in ids])  # an empty text is its end alone
-        counts = np.array([max(1, len(t) - 1) for t in ids])
-        place, pair = pd.factorize(before * 256 + self.head[own])
-        first = self.model.logs(Places((pair & 255).astype(np.uint8), [c[pair >> 8] for c in self.before], True))
-        each = first[place] + self.body[own]
-        ends = counts.cumsum() - 1
-        each[ends] += self.final[own[ends]] - self.body[own[ends]]
-        return np.add.reduceat(each, ends - counts + 1) / np.log(10)
-
-    def measure(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[tuple[float, list[bytes], list[int]]]]:
-        """(log10 probabilities, given_sums) of the texts."""
-        if not texts:
-            return np.empty(0), []
-        ids = self._numbers(texts)
-        return self.log10(ids), list(self.given_sums(ids))
+    def logs(self, symbols: np.ndarray, contexts: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+        """Log10 probability of each symbol in its contexts (``key`` as for a learner)."""
+        at, ends, order = distinct(key)
+        out = np.zeros(len(at))
+        for piece, size, bit, depth, slots in self.shape.bits(symbols[at], [c[at] for c in contexts]):
+            inputs = [self.odds[s] for s in slots]
+            gate = _gate(depth, inputs[-1].view(np.int32) & 7)
+            dot = _dot(inputs, gate, self.weights)
+            p = _squash(dot)
+            p += self.map[_map_index(gate, dot)]
+            p /= 2
+            bit -= 1
+            p += bit  # p where the bit is 1, p - 1 where it is 0
+            logs = np.log10(np.abs(p, out=p), out=p)
+            some = np.flatnonzero(size)
+            if len(some):
+                out[piece][some] = np.add.reduceat(logs, (size.cumsum() - size)[some], dtype=np.float64)
+        each = np.empty(len(key))
+        each[order] = np.repeat(out, np.diff(ends, prepend=0))
+        return each

@@ -3,151 +3,362 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmodel import Learner, Model, Scorer, add_part, finish_part, words_of
+from .bitmodel import Code, Learner, Model, Predictor, Shape, add_part, finish_part, words_of
 from .common import materialize, unclashing
 
-#: Most words whose counts go to every executor; the others are joined.
-COMMON_WORDS = 200_000
+#: Most words that have a symbol of their own and go to every executor; the
+#: counts of the others are joined.
+COMMON_WORDS = 100_000
 #: Distinct words that a task gathers before it passes their counts on.
-GATHERED_WORDS = 500_000
+GATHERED_WORDS = 300_000
+#: Most frequent words, one of which is each text's hub.
+HUBS = 31
+#: Words before that are a context by themselves, and classes of the others by their last two bytes.
+BEFORE, ENDINGS = 4096, 4096
+#: Slots (a power of two) of the predictor by the word before: as many as
+#: training tokens, between these bounds.
+LEAST_BITS, MOST_BITS = 12, 22
+#: Bytes of texts, and number of words to spell, that one learner takes.
+SHARD_BYTES, SHARD_WORDS = 16 << 20, 200_000
+#: Characters of texts that are scored together.
+TOGETHER = 2_000_000
+#: Bytes before a byte that predict it in a word, and bits of the slots.
+ORDERS, SPELLING_BITS = (2, 3, 5), (18, 20, 20)
+MARK = b"\n"  # begins and ends a word; no word holds it
+
+
+class Reader:
+    """Turns texts into symbols: common words by frequency, one symbol for all
+    rare ones, and the text's end."""
+
+    def __init__(self, common: list[tuple[bytes, int]], rare: int, texts: int, bits: int):
+        self.number = {w: i for i, (w, _) in enumerate(common)}
+        self.rare, self.end = len(common), len(common) + 1
+        n = np.array([n for _, n in common], dtype=np.float64)
+        self.base = np.log10(np.concatenate([n + 1, [1, texts + 1]]))
+        self.after = np.array([i if i < BEFORE else _ending(w) for i, (w, _) in enumerate(common)] + [0, 0], dtype=np.int64)
+        code = Code([n for _, n in common] + [max(rare, 1), max(texts, 1)])
+        self.words = Shape(code, [Predictor(contexts=HUBS + 1), Predictor(bits=bits), Predictor(bits=bits)])
+        seen = Counter(MARK * max(len(common), 1))
+        for w, _ in common:
+            seen.update(w)
+        self.letters = Shape(Code([1 + seen[b] for b in range(256)]), [Predictor(bits=b) for b in SPELLING_BITS])
+
+    def read(self, texts: list[list[bytes]]) -> tuple[tuple, np.ndarray, np.ndarray, list[bytes]]:
+        """((symbols, contexts, key), text of each symbol, hub of each text, rare words in order)."""
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        ends = sizes.cumsum() - 1
+        flat = [w for t in texts for w in t]
+        symbols = np.full(int(sizes.sum()), self.end, dtype=np.int64)
+        inner = np.ones(len(symbols), dtype=bool)
+        inner[ends] = False
+        symbols[inner] = np.fromiter(map(self.number.get, flat, repeat(self.rare)), dtype=np.int64, count=len(flat))
+        rare_at = np.flatnonzero(symbols == self.rare)
+        own = np.repeat(np.arange(len(texts)), sizes)
+        rare = [flat[i] for i in (rare_at - own[rare_at]).tolist()]
+        after = self.after[symbols]
+        after[rare_at] = [_ending(w) for w in rare]
+        before = np.empty_like(after)
+        before[1:] = after[:-1]
+        before[ends - sizes + 1] = BEFORE + ENDINGS
+        some = symbols < min(HUBS, self.rare)
+        often = np.bincount(own[some] * HUBS + symbols[some], minlength=len(texts) * HUBS).reshape(-1, HUBS)
+        hub = np.where(often.any(axis=1), often.argmax(axis=1), HUBS)
+        hubs = hub[own]
+        key = (hubs * (self.end + 1) + symbols) * (BEFORE + ENDINGS + 1) + before
+        return (symbols, [hubs, before, before * (HUBS + 1) + hubs], key), own, hub, rare
+
+    @staticmethod
+    def spelled(words: list[bytes]) -> tuple[tuple, np.ndarray]:
+        """((bytes with the mark behind each word, contexts, key), word of each byte)."""
+        pad = max(ORDERS)
+        data = np.frombuffer(b"".join([MARK * pad + w + MARK for w in words]), dtype=np.uint8).astype(np.int64)
+        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        own = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(own)) + pad * (own + 1)
+        value, contexts = np.zeros_like(at), []
+        for back in range(1, pad + 1):
+            value = (value << 8) | data[at - back]
+            if back in ORDERS:
+                contexts.append(value)
+        return (data[at], contexts, (value << 8) | data[at]), own
+
+
+def _ending(word: bytes) -> int:
+    return BEFORE + zlib.crc32(word[-2:]) % ENDINGS
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words and how often they come in texts that are not held out (0: never)."""
     def out() -> pd.DataFrame:
+        for w in others:
+            seen.setdefault(w, 0)
         return pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     seen: Counter[bytes] = Counter()
+    others: set[bytes] = set()
     for b in batches:
-        for text in b["text"]:
-            seen.update(words_of(text))
-        if len(seen) > GATHERED_WORDS:
-            yield out()
-            seen.clear()
-    if seen:
+        for text, held in zip(b["text"], b["held_out"]):
+            (others if held else seen).update(words_of(text))
+            if len(seen) + len(others) > GATHERED_WORDS:
+                yield out()
+                seen.clear()
+                others.clear()
+    if seen or others:
         yield out()
 
 
-def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    learner = Learner()
-    for b in batches:
-        for text in b["text"]:
-            learner.add(words_of(text), len(text or ""))
-    if learner.blocks or learner.texts:
-        for number, data in learner.parts():
-            yield pd.DataFrame({"part": [number], "data": [data]})
+def _chunks(texts: pd.Series) -> Iterator[slice]:
+    """Slices of texts of TOGETHER characters or a little more."""
+    sizes, at, size = texts.str.len().fillna(0).to_numpy(), 0, 0
+    for i, n in enumerate(sizes):
+        size += n + 1
+        if size >= TOGETHER:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
+PARTS = "model int, part int, data binary"
+
+
+def _parts(model: int, learner: Learner, hubs: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    for number, data in learner.parts():
+        yield pd.DataFrame({"model": [model], "part": [number], "data": [data]})
+    if hubs is not None and hubs.any():
+        yield pd.DataFrame({"model": [model], "part": [-3], "data": [hubs.tobytes()]})
+
+
+def _learn_words(shared):
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, shard = shared.value, None
+        learner = hubs = None
+        for b in batches:
+            for number, rows in b.groupby("shard", sort=False):
+                if number != shard:
+                    if learner:
+                        yield from _parts(0, learner, hubs)
+                    shard, learner, hubs = number, Learner(reader.words), np.zeros(HUBS + 1, dtype=np.int64)
+                for some in _chunks(rows["text"]):
+                    seen, _, hub, _ = reader.read([words_of(t) for t in rows["text"].iloc[some]])
+                    hubs += np.bincount(hub, minlength=HUBS + 1)
+                    learner.add(*seen)
+        if learner:
+            yield from _parts(0, learner, hubs)
+
+    return learn
+
+
+def _learn_spelling(shared):
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = learner = None
+        for b in batches:
+            for number, rows in b.groupby("shard", sort=False):
+                if number != shard:
+                    if learner:
+                        yield from _parts(1, learner)
+                    shard, learner = number, Learner(shared.value.letters)
+                learner.add(*Reader.spelled([bytes(w) for w in rows["word"]])[0])
+        if learner:
+            yield from _parts(1, learner)
+
+    return learn
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds up parts that come in order of their numbers, one at a time."""
-    number, total = None, None
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"model": [key[0]], "part": [key[1]], "data": [finish_part(key[1], total)]})
+
+    key, total = None, None
     for b in batches:
-        for k, data in zip(b["part"], b["data"]):
-            if k != number and total is not None:
-                yield pd.DataFrame({"part": [number], "data": [finish_part(number, total)]})
+        for m, k, data in zip(b["model"], b["part"], b["data"]):
+            if (m, k) != key and total is not None:
+                yield out()
                 total = None
-            number, total = k, add_part(total, k, data)
+            key, total = (m, k), add_part(total, k, data)
     if total is not None:
-        yield pd.DataFrame({"part": [number], "data": [finish_part(number, total)]})
+        yield out()
+
+
+def _sharded(rows: DataFrame, size: int, largest: int, *by: str) -> DataFrame:
+    """``rows`` dealt by their hash to so many shards that each has about
+    ``largest`` of ``size``, in an order of their own."""
+    shards = max(1, -(-size // largest))
+    key = F.xxhash64(*by)
+    dealt = rows.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int"))
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", key, *by)
+
+
+def train(learning: DataFrame, size: int, words: DataFrame, number: int, shared) -> dict[tuple[int, int], bytes]:
+    """The models of all texts (doc_id, text; ``size`` bytes) and of the spelling
+    of all their distinct words (``number``). Learners take fixed shards of them, in a fixed order, so the result
+    does not depend on partitions; counts, weights (by what they were learnt
+    on) and maps are then added up, slice by slice."""
+    texts = _sharded(learning, size, SHARD_BYTES, "doc_id", "text").select("shard", "text")
+    spelt = _sharded(words, number, SHARD_WORDS, "word").select("shard", "word")
+    learnt = texts.mapInPandas(_learn_words(shared), PARTS).unionByName(spelt.mapInPandas(_learn_spelling(shared), PARTS))
+    # Sums of weights are of floats, so their order is fixed too.
+    merged = learnt.repartition("model", "part").sortWithinPartitions("model", "part", "data").mapInPandas(_merge, PARTS)
+    return {(r["model"], r["part"]): bytes(r["data"]) for r in merged.toLocalIterator()}
+
+
+class Scorer:
+    """Log10 probabilities of texts, but for what counts tell of rare words."""
+
+    def __init__(self, reader: Reader, parts: dict[tuple[int, int], bytes]):
+        self.reader = reader
+        self.words, self.letters = (Model(shape, {k: v for (m, k), v in parts.items() if m == i}) for i, shape in enumerate((reader.words, reader.letters)))
+        hubs = np.frombuffer(parts.get((0, -3), bytes(8 * (HUBS + 1))), dtype=np.int64)
+        self.hub = np.log10((hubs + 1) / (hubs.sum() + HUBS + 1))
 
+    def spelling(self, words: list[bytes]) -> np.ndarray:
+        """Log10 probabilities of the words' bytes."""
+        letters, word = self.reader.spelled(words)
+        return np.bincount(word, self.letters.logs(*letters), minlength=len(words))
 
-#: The scorer that this worker used last; its tasks share what it remembers.
+    def measure(self, texts: list[list[bytes]]) -> pd.DataFrame:
+        """For each text: its common words and their sum of log10 counts; log10
+        of the text's probability but for which rare words it has; and these
+        words and how often they come."""
+        read, own, hub, rare = self.reader.read(texts)
+        symbols, n = read[0], len(texts)
+        logs = np.bincount(own, self.words.logs(*read), minlength=n) + self.hub[hub]
+        known = symbols != self.reader.rare
+        base = np.bincount(own[known], self.reader.base[symbols[known]], minlength=n)
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(w, len(number)) for w in rare), dtype=np.int64, count=len(rare))
+        words = list(number)
+        pair, often = np.unique(own[~known] * max(1, len(words)) + which, return_counts=True)
+        cut = np.searchsorted(pair, np.arange(n + 1) * max(1, len(words)))
+        pair %= max(1, len(words))
+        spans = [slice(a, z) for a, z in zip(cut, cut[1:])]
+        return pd.DataFrame({
+            "sure": np.bincount(own[known], minlength=n) - 1, "base": base, "log": logs,
+            "rare": [[words[i] for i in pair[s]] for s in spans], "rare_n": [often[s] for s in spans],
+        })
+
+
+#: The scorer that this worker used last.
 _last: tuple[str, Scorer] | None = None
 
 
-def _scorer(name: str, shared) -> Scorer:
+def _scorer(name: str, shared, trained) -> Scorer:
     global _last
     if _last is None or _last[0] != name:
-        common, parts = shared.value
-        _last = name, Scorer(Model(parts), {w: float(np.log10(n + 1)) for w, n in common.items()})
+        _last = name, Scorer(shared.value, trained.value)
     return _last[1]
 
 
-def train(docs: DataFrame) -> dict[int, bytes]:
-    """The context-mixing model of all texts of ``docs``: each task learns from
-    its texts online; counts, the mixer's weights (by what it learnt them on)
-    and the probability map are then added up, slice by slice."""
-    learnt = docs.select("text").mapInPandas(_learn, "part int, data binary")
-    merged = learnt.repartition("part").sortWithinPartitions("part").mapInPandas(_merge, "part int, data binary")
-    return {r["part"]: bytes(r["data"]) for r in merged.toLocalIterator()}
-
-
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
-    score) of every row of ``docs``, learning from rows not ``held_out`` (an
-    expression over doc_id; null counts as not held out).
+    score, bits_per_byte) of every row of ``docs``, learning from rows not
+    ``held_out`` (an expression over doc_id; null counts as not held out).
 
     Tokens are words (A-Z lower-cased) and one end a text. ``base_score`` is the
     add-one unigram log10 probability; ``score`` is that of online logistic
-    context mixing over the text's bytes: words with single spaces between and
-    an end. Each bit is predicted from hashed contexts (the last bytes, the word
-    so far, the word before), whose log odds are combined by weights gated by
-    the bit's place and the longest context's count, then refined by an
-    adaptive map. Mixer and map learn on blocks before these are counted.
-
-    Null and empty texts are their end alone; rows with repeated ids are scored
-    row by row; with nothing to learn from, counts are 0; an empty table gives
-    an empty result; other columns are ignored.
-
-    Counts of COMMON_WORDS words at most are broadcast, and the model (27 MB).
-    Less common words are joined with their counts: one row for each of them in
-    each document.
+    context mixing over the text's words with single spaces between and an end,
+    ``bits_per_byte`` the same in bits a byte of these.
+
+    Words are spelled in the bits of a Huffman code. Each bit is predicted from
+    the bits before it and a context: the text's hub (its most frequent word among
+    the HUBS most frequent of all; it is coded first), the word before, and both.
+    Log odds are combined by weights gated by depth and
+    experience, then refined by an adaptive map. Words that come once, or are
+    not among the COMMON_WORDS most frequent, share a symbol. Behind it a rare
+    word is drawn from the exact counts of all rare words, or is new and
+    spelled in bits of bytes, by the last bytes, in the same way; new ones have
+    the probability that words seen once have among the rare.
+
+    Learners take all rows, in fixed shards by hash, and predict each block
+    before it is counted; scores do not depend on partitions or on other rows
+    that are scored. Null and empty texts are their end alone; rows with
+    repeated ids are scored row by row; with nothing to learn from, counts are
+    0; an empty table gives an empty result; other columns are ignored.
+
+    What is broadcast is bounded: COMMON_WORDS words and the slots' log odds
+    (at most 35 MB). Less common words are joined with their counts: one row
+    for each of them in each document.
     """
     spark = docs.sparkSession
     rows = unclashing(docs, ["held_out"]).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    learning = rows.where(~F.col("held_out"))
-    counts = materialize(learning.select("text").mapInPandas(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    texts = learning.select("doc_id").count()
-    found = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    total, distinct = found["n"] + texts, found["v"] + (texts > 0)
+    learning = rows.where(~F.col("held_out")).select("doc_id", "text")
+    # Words of held-out texts alone count 0.
+    counts = materialize(rows.select("text", "held_out").mapInPandas(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    seen = learning.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     # The least count that COMMON_WORDS words reach or pass, from a histogram by powers of 2**(1/4).
-    steps = counts.groupBy(F.floor(4 * F.log2("n")).alias("step")).count().orderBy(F.desc("step")).collect()
+    step = F.floor(4 * F.log2("n"))
+    steps = counts.where("n > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
     bound, room = None, COMMON_WORDS
     for r in steps:
-        if r["count"] > room:
+        if r["words"] > room or not r["step"]:
             break
-        bound, room = r["step"], room - r["count"]
-    common = {} if bound is None else {
-        bytes(r["word"]): r["n"] for r in counts.where(F.floor(4 * F.log2("n")) >= bound).toLocalIterator()
-    }
-    shared = spark.sparkContext.broadcast((common, train(learning)))
+        bound, room = r["step"], room - r["words"]
+    few = F.lit(True) if bound is None else (F.col("n") == 0) | (step < bound)
+    common = [] if bound is None else sorted(((bytes(r["word"]), r["n"]) for r in counts.where(~few).toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    rest = [r for r in steps if bound is None or r["step"] < bound]
+    rare_n = sum(r["n"] for r in rest)
+    once = sum(r["words"] for r in rest if not r["step"])
+    total, distinct_words = sum(r["n"] for r in steps) + seen["texts"], sum(r["words"] for r in steps) + (seen["texts"] > 0)
+    bits = min(max(int(total).bit_length(), LEAST_BITS), MOST_BITS)
+    shared = spark.sparkContext.broadcast(Reader(common, rare_n, seen["texts"], bits))
+    trained = spark.sparkContext.broadcast(train(learning, seen["size"], counts.where("n > 0").select("word"), sum(r["words"] for r in steps), shared))
     name = uuid.uuid4().hex
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(name, shared)
+        scorer = _scorer(name, shared, trained)
         for b in batches:
-            for at in range(0, len(b), 512):
-                some = b.iloc[at : at + 512]
-                words = [words_of(t) for t in some["text"]]
-                scores, sums = scorer.measure(words)
-                tokens = np.array([len(w) + 1 for w in words])
-                yield pd.DataFrame({
-                    "doc_id": some["doc_id"].astype("Int64").array, "held_out": some["held_out"].array, "n_tokens": tokens,
-                    "sure": tokens - 1 - np.array([sum(k) for _, _, k in sums]), "base": [x for x, _, _ in sums],
-                    "rare": [w for _, w, _ in sums], "rare_n": [k for _, _, k in sums], "score": scores,
+            for some in _chunks(b["text"]):
+                part = b.iloc[some].reset_index(drop=True)
+                words = [words_of(t) for t in part["text"]]
+                head = pd.DataFrame({
+                    "doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"],
+                    "n_tokens": [len(w) + 1 for w in words], "n_bytes": [sum(map(len, w)) + max(len(w), 1) for w in words],
                 })
+                yield pd.concat([head, scorer.measure(words)], axis=1)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _scorer(name, shared, trained)
+        for b in batches:
+            yield b.assign(s=scorer.spelling([bytes(w) for w in b["word"]]))
 
     measured = rows.mapInPandas(
-        measure, "doc_id long, held_out boolean, n_tokens long, sure long, base double, rare array<binary>, rare_n array<int>, score double"
+        measure, "doc_id long, held_out boolean, n_tokens long, n_bytes long, sure long, base double, log double, rare array<binary>, rare_n array<int>"
     ).withColumn("row", F.monotonically_increasing_id())
     measured = materialize(measured, "measured")  # from here on a row's number is fixed
-    rare = measured.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
-    known = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum("k").alias("too"))
-    end_known, end_log = int(texts > 0), float(np.log10(texts + 1))
-    return measured.drop("rare", "rare_n").join(known, "row", "left").select(
+    new = (once + 1) / (rare_n + 2)  # of the rare, the share of new ones
+    spelled = F.col("s") + F.lit(float(np.log10(new)))
+    drawn = F.log10(F.col("n") * F.lit((1 - new) / max(rare_n, 1)))
+    both = F.greatest(spelled, drawn) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(spelled - drawn)))
+    words = counts.where(few).mapInPandas(spell, "word binary, n long, s double").select("word", "n", F.when(F.col("n") == 0, spelled).otherwise(both).alias("s"))
+    zipped = measured.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
+    more = zipped.select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k")).join(words, "word").groupBy("row").agg(
+        F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"),
+        F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("too"),
+        F.sum(F.col("k") * F.col("s")).alias("rare_score"),
+    )
+    out = measured.drop("rare", "rare_n").join(more, "row", "left")
+    texts_known = int(seen["texts"] > 0)
+    full = F.col("log") + F.coalesce("rare_score", F.lit(0.0))
+    return out.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("sure") + F.coalesce("too", F.lit(0)) + F.lit(end_known)).alias("n_known"),
+        (F.col("sure") + F.coalesce("too", F.lit(0)) + F.lit(texts_known)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct_words + 1)))).alias("base_score"),
+        full.alias("score"),
+        (-full / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

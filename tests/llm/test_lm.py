@@ -1,12 +1,14 @@
+import heapq
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from octetloom.llm import lm
-from octetloom.llm.bitmodel import Learner, Model, Scorer, add_part, finish_part, words_of
+from octetloom.llm import bitmodel, lm
+from octetloom.llm.bitmodel import Code, Learner, Model, Predictor, Shape, add_part, finish_part, words_of
 from octetloom.llm.queries import op6_lm
 
 
@@ -32,60 +34,185 @@ def test_query_matches_brute_force(spark, sf_dir):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), tokens, known, n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert -8 * len((docs[i][1] or "").encode()) - 20 < r["score"] < 0
-
-
-def model_of(texts):
-    learner = Learner()
+        size = sum(len(w) for w in words_of(docs[i][1])) + max(tokens - 1, 1)
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / size)
+
+
+def paths(weights):
+    """Huffman's code by pairs of trees: symbol -> [(node, bit)]."""
+    heap = [(w, i, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    n = len(weights)
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (a + b, n, (n - len(weights), x, y)))
+        n += 1
+    out = {}
+
+    def walk(tree, path):
+        if isinstance(tree, int):
+            out[tree] = path
+        else:
+            walk(tree[1], path + [(tree[0], 0)])
+            walk(tree[2], path + [(tree[0], 1)])
+
+    walk(heap[0][2], [])
+    return out
+
+
+def hashed(context, node, bits):
+    mask = (1 << 32) - 1
+    a, b = (int(x) for x in bitmodel._ODD_32)
+    h = (((context + 1) * int(bitmodel._ODD)) & ((1 << 64) - 1)) >> 32
+    h ^= (node * b) & mask
+    h = ((h ^ (h >> 15)) * a) & mask
+    return h >> (32 - bits)
+
+
+class Plain:
+    """A model of so few symbols that all are one block: weights stay as they
+    begin, and the map learns at even odds only."""
+
+    def __init__(self, weights, slots):
+        self.code, self.slots, self.counts, self.even = paths(weights), slots, defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+
+    def learn(self, symbol, contexts):
+        for depth, (node, bit) in enumerate(self.code[symbol]):
+            for k, c in enumerate(contexts):
+                self.counts[k, self.slots[k](c, node)][bit] += 1
+
+    def learn_even(self, rows):
+        for symbol, contexts in set(rows):
+            for depth, (_, bit) in enumerate(self.code[symbol]):
+                self.even[min(depth, bitmodel.DEPTHS - 1)][bit] += 1
+
+    def log10(self, symbol, contexts):
+        total = 0
+        for depth, (node, bit) in enumerate(self.code[symbol]):
+            seen = [self.counts.get((k, self.slots[k](c, node)), [0, 0]) for k, c in enumerate(contexts)]
+            dot = sum(1.2 / len(seen) * math.log((one + 0.4) / (zero + 0.4)) for zero, one in seen)
+            level = sum(x <= sum(seen[-1]) for x in bitmodel.LEVELS)
+            step = min(max(int(dot * 1.5 + bitmodel.STEPS // 2 + 0.5), 0), bitmodel.STEPS - 1)
+            start = 1 / (1 + math.exp(-(step - bitmodel.STEPS // 2) / 1.5))
+            zero, one = self.even[min(depth, bitmodel.DEPTHS - 1)] if level == 0 and step == bitmodel.STEPS // 2 else (0, 0)
+            p = (1 / (1 + math.exp(-dot)) + (one + 8 * start) / (zero + one + 8)) / 2
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+
+def test_score_matches_brute_force(spark):
+    texts = ["the cat sat on the mat", "The dog sat on a log", "", "a cat and a dog", "rare birds sat", "the end the end"]
+    new = ["the cat sat", "a rare fish", "fish fish on the log", None]
+    docs = [(i, t) for i, t in enumerate(texts + new)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") >= len(texts)).collect()}
+
+    count = Counter(w for t in texts for w in words_of(t))
+    common = sorted((w for w in count if count[w] > 1), key=lambda w: (-count[w], w))
+    rare = [w for w in count if count[w] == 1]
+    number = {w: i for i, w in enumerate(common)}
+    ending = lambda w: lm.BEFORE + zlib.crc32(w[-2:]) % lm.ENDINGS
+
+    def rows(t):
+        words = words_of(t)
+        hub = max(range(len(common)), key=lambda i: (sum(w == common[i] for w in words), -i)) if any(w in number for w in words) else lm.HUBS
+        before = lm.BEFORE + lm.ENDINGS
+        out = []
+        for w in [*words, None]:
+            out.append((len(common) + 1 if w is None else number.get(w, len(common)), (hub, before, before * (lm.HUBS + 1) + hub)))
+            before = None if w is None else number.get(w, ending(w))
+        return hub, out
+
+    tokens = sum(count.values()) + len(texts)
+    bits = max(tokens.bit_length(), lm.LEAST_BITS)
+    model = Plain([count[w] for w in common] + [len(rare), len(texts)], [lambda c, n: (c, n), lambda c, n: hashed(c, n, bits), lambda c, n: hashed(c, n, bits)])
+    hubs, all_rows = Counter(), []
     for t in texts:
-        learner.add(words_of(t), len(t))
-    return Model({k: finish_part(k, add_part(None, k, x)) for k, x in learner.parts()})
-
-
-def test_probabilities_sum_to_one_and_learn():
-    model = model_of(["the cat sat on the mat"] * 3000 + ["a dog ran"] * 3000)
-    scorer = Scorer(model)
-    score = lambda t: scorer.measure([words_of(t)])[0][0]
-    assert score("the cat sat on the mat") > score("mat the on sat cat the") > score("qzx vvkj wq jjx zzq pqp")
-    assert score("") < 0
-    # The first byte's probabilities sum to one.
-    from octetloom.llm.bitmodel import Places, Words
-
-    before = Words([b"the"]).before()
-    logs = model.logs(Places(np.arange(256, dtype=np.uint8), [np.repeat(c, 256) for c in before], True))
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_scores_do_not_depend_on_neighbours():
-    model = model_of(["some words in a text", "other words"] * 50)
-    texts = [words_of(t) for t in ("some text", "", "other words in a row", "some text", "ünïcode 😀")]
-    together = Scorer(model).measure(texts)[0]
-    alone = [Scorer(model).measure([t])[0][0] for t in texts]
-    assert list(together) == pytest.approx(alone, abs=1e-12)
-    assert together[0] == together[3]
+        hub, r = rows(t)
+        hubs[hub] += 1
+        all_rows += r
+        for symbol, contexts in r:
+            model.learn(symbol, contexts)
+    model.learn_even(all_rows)
+
+    bytes_seen = Counter(b"\n" * len(common) + b"".join(common))
+    letters = Plain([1 + bytes_seen[b] for b in range(256)], [lambda c, n, k=k: hashed(c, n, k) for k in lm.SPELLING_BITS])
+
+    def spelled(w):
+        past = b"\n" * 5 + w
+        return [(b, tuple(int.from_bytes(past[i + 5 - o : i + 5], "little") for o in lm.ORDERS)) for i, b in enumerate(w + b"\n")]
+
+    letter_rows = [x for w in count for x in spelled(w)]
+    for symbol, contexts in letter_rows:
+        letters.learn(symbol, contexts)
+    letters.learn_even(letter_rows)
+
+    share = (len(rare) + 1) / (len(rare) + 2)
+    for i, t in docs:
+        hub, r = rows(t)
+        want = math.log10((hubs[hub] + 1) / (len(texts) + lm.HUBS + 1)) + sum(model.log10(s, c) for s, c in r)
+        for w in words_of(t):
+            if w not in number:
+                p = share * 10 ** sum(letters.log10(s, c) for s, c in spelled(w))
+                want += math.log10(p + (1 - share) * count[w] / len(rare))
+        assert got[i]["score"] == pytest.approx(want, rel=2e-3), t
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a, b = ({r["doc_id"]: r["score"] for r in lm.score(docs.repartition(n), F.col("doc_id") % 7 == 2).collect()} for n in (1, 8))
+    assert a.keys() == b.keys()
+    assert all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
+
+
+def trained(shape, symbols, contexts):
+    learner = Learner(shape)
+    key = symbols
+    for c in contexts:
+        key = key * (c.max() + 1) + c
+    learner.add(symbols, contexts, key)
+    return learner, Model(shape, {k: finish_part(k, add_part(None, k, x)) for k, x in learner.parts()})
+
+
+def test_probabilities_sum_to_one_and_blocks_move_the_weights():
+    rng = np.random.default_rng(1)
+    symbols = rng.integers(0, 4, 40_000) * 2 + (np.arange(40_000) % 2)  # odd and even in turn
+    before = np.concatenate([[8], symbols[:-1]])
+    shape = Shape(Code([1] * 8), [Predictor(contexts=1), Predictor(bits=12)])
+    learner, model = trained(shape, symbols, [symbols * 0, before])
+    assert learner.mixed > 0 and not np.allclose(learner.weights, 0.6)
+    every = np.arange(8)
+    logs = model.logs(every, [every * 0, every * 0 + 4], every)
+    assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+    assert (10 ** logs[1::2]).sum() > 0.98  # behind an even one
+
+
+def test_every_block_counts_and_is_mixed():
+    shape = Shape(Code([3, 2, 1]), [Predictor(bits=12)])
+    for n in (1, 5, bitmodel.FIRST_BLOCK + 1, 3 * bitmodel.FIRST_BLOCK):
+        symbols = np.arange(n) % 3
+        learner, _ = trained(shape, symbols, [np.zeros(n, dtype=np.int64)])
+        seen = learner.counts.view(np.uint32).sum()
+        assert seen == shape.code.size[symbols].sum()
+        assert learner.mixed >= shape.code.size[np.unique(symbols)].sum()
+
+
+def test_known_words_score_above_the_base(spark):
+    """Held-out texts of known words, each in one of two vocabularies."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{n}" for n in rng.zipf(1.3, 60) if n < 200) for i in range(1500)]
+    rows = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 7 == 2).where("held_out")
+    score, base, tokens = rows.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (score - base) / tokens > 0.15
 
 
 def test_odd_rows(spark):
-    from pyspark.sql import functions as F
-
     schema = "doc_id long, text string, score string, word string"
     none = F.col("doc_id") < 0
     assert lm.score(spark.createDataFrame([], schema), none).count() == 0
-    rows = lm.score(spark.createDataFrame([(None, None, "x", "y"), (1, "", "x", "y"), (1, "", "x", "y"), (2, "w " * 50000, "x", "y")], schema), none).collect()
-    assert sorted(r["n_tokens"] for r in rows) == [1, 1, 1, 50001]
-    assert all(r["train_tokens"] == 50004 and r["n_known"] == r["n_tokens"] for r in rows)
+    rows = lm.score(spark.createDataFrame([(None, None, "x", "y"), (1, "", "x", "y"), (1, "", "x", "y"), (2, "w " * 50000, "x", "y"), (3, "v" * 100_000, "x", "y")], schema), none).collect()
+    assert sorted(r["n_tokens"] for r in rows) == [1, 1, 1, 2, 50001]
+    assert all(r["train_tokens"] == 50006 and r["n_known"] == r["n_tokens"] and math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     nothing = lm.score(spark.createDataFrame([(1, "a b", "", "")], schema), F.lit(True)).first()
     assert (nothing["n_known"], nothing["train_tokens"], nothing["base_score"]) == (0, 0, 0.0)
-
-
-def test_mixer_and_map_learn_on_all_of_the_text():
-    from octetloom.llm.bitmodel import BLOCK_BYTES, START_BYTES
-
-    for texts in (["a few words"], ["one two three"] * 5, ["some words of a text"] * ((2 * START_BYTES + 2 * BLOCK_BYTES) // 20)):
-        learner = Learner()
-        for t in texts:
-            learner.add(words_of(t), len(t))
-        parts = dict(learner.parts())
-        # One byte a place: each word's bytes with the space (or end) behind.
-        assert learner.mixed == sum(len(t) + 1 for t in texts)
-        assert -1 in parts and np.frombuffer(parts[-2], dtype=np.int64).sum() > 0
+    assert math.isfinite(nothing["score"])
