@@ -26,7 +26,7 @@ STEPS = 33
 #: Slots of the counts that travel together.
 SLICE = 1 << 16
 #: Symbols of a learner's first block and of its largest one; each is twice the one before.
-FIRST_BLOCK, LARGEST_BLOCK = 1 << 11, 1 << 20
+FIRST_BLOCK, LARGEST_BLOCK = 1 << 11, 1 << 19
 #: Bits that are looked up together.
 STRIDE = 1 << 15
 PRIOR = np.float32(0.4)

@@ -20,18 +20,18 @@ from .common import materialize, unclashing
 #: counts of the others are joined.
 COMMON_WORDS = 100_000
 #: Distinct words that a task gathers before it passes their counts on.
-GATHERED_WORDS = 300_000
+GATHERED_WORDS = 150_000
 #: Most frequent words, one of which is each text's hub.
 HUBS = 31
 #: Words before that are a context by themselves, and classes of the others by their last two bytes.
 BEFORE, ENDINGS = 4096, 4096
 #: Slots (a power of two) of the predictor by the word before: as many as
 #: training tokens, between these bounds.
-LEAST_BITS, MOST_BITS = 12, 22
+LEAST_BITS, MOST_BITS = 12, 21
 #: Bytes of texts, and number of words to spell, that one learner takes.
 SHARD_BYTES, SHARD_WORDS = 16 << 20, 200_000
 #: Characters of texts that are scored together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Bytes before a byte that predict it in a word, and bits of the slots.
 ORDERS, SPELLING_BITS = (2, 3, 5), (18, 20, 20)
 MARK = b"\n"  # begins and ends a word; no word holds it
@@ -46,7 +46,7 @@ class Reader:
         self.rare, self.end = len(common), len(common) + 1
         n = np.array([n for _, n in common], dtype=np.float64)
         self.base = np.log10(np.concatenate([n + 1, [1, texts + 1]]))
-        self.after = np.array([i if i < BEFORE else _ending(w) for i, (w, _) in enumerate(common)] + [0, 0], dtype=np.int64)
+        self.after = np.array([i if i < BEFORE else _ending(w) for i, (w, _) in enumerate(common)] + [0, 0], dtype=np.int32)
         code = Code([n for _, n in common] + [max(rare, 1), max(texts, 1)])
         self.words = Shape(code, [Predictor(contexts=HUBS + 1), Predictor(bits=bits), Predictor(bits=bits)])
         seen = Counter(MARK * max(len(common), 1))
@@ -59,12 +59,12 @@ class Reader:
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         ends = sizes.cumsum() - 1
         flat = [w for t in texts for w in t]
-        symbols = np.full(int(sizes.sum()), self.end, dtype=np.int64)
+        symbols = np.full(int(sizes.sum()), self.end, dtype=np.int32)
         inner = np.ones(len(symbols), dtype=bool)
         inner[ends] = False
-        symbols[inner] = np.fromiter(map(self.number.get, flat, repeat(self.rare)), dtype=np.int64, count=len(flat))
+        symbols[inner] = np.fromiter(map(self.number.get, flat, repeat(self.rare)), dtype=np.int32, count=len(flat))
         rare_at = np.flatnonzero(symbols == self.rare)
-        own = np.repeat(np.arange(len(texts)), sizes)
+        own = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         rare = [flat[i] for i in (rare_at - own[rare_at]).tolist()]
         after = self.after[symbols]
         after[rare_at] = [_ending(w) for w in rare]
@@ -73,9 +73,9 @@ class Reader:
         before[ends - sizes + 1] = BEFORE + ENDINGS
         some = symbols < min(HUBS, self.rare)
         often = np.bincount(own[some] * HUBS + symbols[some], minlength=len(texts) * HUBS).reshape(-1, HUBS)
-        hub = np.where(often.any(axis=1), often.argmax(axis=1), HUBS)
+        hub = np.where(often.any(axis=1), often.argmax(axis=1), HUBS).astype(np.int32)
         hubs = hub[own]
-        key = (hubs * (self.end + 1) + symbols) * (BEFORE + ENDINGS + 1) + before
+        key = (hubs * np.int64(self.end + 1) + symbols) * (BEFORE + ENDINGS + 1) + before
         return (symbols, [hubs, before, before * (HUBS + 1) + hubs], key), own, hub, rare
 
     @staticmethod
