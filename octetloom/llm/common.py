@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` wrote for ``df`` and nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tables/" in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def buckets_for(n: int) -> int:
     b = 1
     while b < MAX_BUCKETS and b * BUCKET_ROWS < n:
@@ -48,7 +57,7 @@ def buckets_for(n: int) -> int:
     return b
 
 
-def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str, ranged: bool = False) -> DataFrame:
+def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
     """Add ``out``: the row's exact 0-based rank within ``groups`` by
     (bucket, *order), with ``out_total``, the group's row count.
 
@@ -56,10 +65,6 @@ def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Colu
     bucket is numbered alone, and a small table of bucket counts (one row per
     group and bucket) gives the offsets. ``groups`` must not be null;
     ``bucket`` must never decrease along ``order``.
-
-    ``ranged`` is for a single group: rows are dealt in ranges of buckets, so
-    that partitions follow the rank, and the offsets (MAX_BUCKETS rows of three
-    numbers at most) are broadcast.
     """
     keys = [*groups, "_bucket"]
     rows = df.withColumn("_bucket", bucket)
@@ -71,8 +76,6 @@ def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Colu
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias(f"{out}_total"),
     )
-    if ranged:
-        rows, offsets = rows.repartitionByRange("_bucket"), F.broadcast(offsets)
     within = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return (
         within.join(offsets, keys)
@@ -81,6 +84,14 @@ def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Colu
     )
 
 
+def boxed(df: DataFrame, drop: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(``df`` with all columns but ``drop`` in one struct ``row``, so that no
+    name clashes with an operator's own; the columns that can order ties)."""
+    kept = unclashing(df, drop)
+    ties = [F.col("row").getField(c) for c, kind in kept.dtypes if not kind.startswith(("map", "variant"))]
+    return kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")), ties
+
+
 def shuffled_key(doc_id: Column, seed: int) -> Column:
     """A seeded order of documents that any SQL engine can repeat: MD5 of
     ``seed:doc_id`` (a null id counts as the empty string)."""

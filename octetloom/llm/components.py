@@ -5,42 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove
 
 MAX_ROUNDS = 60
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Nodes with at least 1/HOT_SHARE of all edge ends are joined by broadcast: there are so many at most.
+HOT_SHARE = 1000
+
+
+def _stars(edges: DataFrame, large: bool, ends: int) -> DataFrame:
     """One star step: each node u links its neighbours (larger ones in a large
     step; smaller ones and itself in a small one) to the smallest of its
-    neighbourhood. Minima are summed up before the shuffle, and the join back
-    is one that adaptive execution can split for hub nodes."""
+    neighbourhood. Minima are summed up before the shuffle; hubs, which would
+    make large tasks of the join back, are broadcast. ``ends``: at most so many
+    edge ends there are."""
+    near = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     if large:
-        near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        near = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = near.join(least, "a")
+        near = edges.select("a", "b").unionByName(near)
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    least = materialize(least, "star-minima")
+    hot = F.col("n") * HOT_SHARE >= max(ends, HOT_SHARE)
+    hubs = least.where(hot).select("a", "m")
+    known = near.join(F.broadcast(hubs), "a", "left")
+    rest = known.where("m IS NULL").select("a", "b").join(least.where(~hot).select("a", "m"), "a")
+    joined = known.where("m IS NOT NULL").unionByName(rest)
     if large:
         out = joined.where("b > a").select(F.col("m").alias("a"), "b")
     else:
         own = least.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         out = joined.where("b > m").select(F.col("m").alias("a"), "b").unionByName(own)
-    return out.where("a < b").distinct()
+    out = materialize(out.where("a < b").distinct(), "stars")
+    remove(least)
+    return out
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (long columns a < b): root is
     the smallest node of its component. Takes O(log n) rounds or so; each is
-    written to the shared folder, so no lineage builds up."""
+    written to the shared folder, so no lineage builds up, and tables of the
+    round before are removed."""
     current = edges.select("a", "b")
-    before = None
+    n, before = current.count(), None
     for _ in range(MAX_ROUNDS):
-        current = materialize(_stars(_stars(current, True), False), "stars")
+        middle = _stars(current, True, 2 * n)
+        after = _stars(middle, False, max(n, 1))
+        if before:
+            remove(current)
+        remove(middle)
+        current = after
         # Stars only: nobody is both a root and a leaf, and each leaf has one root.
         now = current.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
+        n = now["n"]
         if (now["n"], now["h"]) == before:
             break
         before = (now["n"], now["h"])

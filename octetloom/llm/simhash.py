@@ -46,6 +46,11 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
         n = len(words) - k + 1
         spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist())
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is in over half the hashes."""
     set_in = np.zeros(64, dtype=np.int64)
     octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     for i in range(0, len(octets), 65536):
