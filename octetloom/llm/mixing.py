@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BUCKETS, buckets_for, hash_bucket, shuffled_key, unclashing, with_rank
+from .common import MAX_BUCKETS, boxed, buckets_for, hash_bucket, shuffled_key, with_rank
 
 #: Most slots of one period of the schedule: the sum of all integer weights.
 MAX_PERIOD = 100_000
+#: Most lookups (ranges of slots times sources) that the driver makes; this sets the size of a range only.
+LOOKUPS = 5_000_000
 
 
 def pfair_period(weights: dict[str, int]) -> list[tuple[str, int]]:
@@ -68,33 +71,50 @@ def mix(
     weights = dict(weights or {})
     if default_weight < 1 or any(w < 1 for w in weights.values()):
         raise ValueError("weights are integers from 1")
-    rows = unclashing(docs, ["mix_slot", "mix_position"])
-    keyed = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("-")))
-    sizes = keyed.groupBy("_source").count().limit(MAX_PERIOD + 1).collect()
-    used = {r["_source"]: weights.get(r["_source"][1:], default_weight) if r["_source"] != "-" else default_weight for r in sizes}
+    rows, ties = boxed(docs, ["mix_slot", "mix_position"])
+    own = F.coalesce(F.concat(F.lit("s"), F.col("row").getField(source).cast("string")), F.lit("-"))
+    doc_id = F.col("row").getField("doc_id")
+    keyed = rows.select("row", own.alias("source"), shuffled_key(doc_id, seed).alias("key"))
+    sizes = {r["source"]: r["count"] for r in keyed.groupBy("source").count().limit(MAX_PERIOD + 1).collect()}
+    used = {s: weights.get(s[1:], default_weight) if s != "-" else default_weight for s in sizes}
     plan = pfair_period(used)
     total = len(plan) or 1
-    period = spark.createDataFrame(
-        [(s, j, slot, used[s]) for slot, (s, j) in enumerate(plan)], "_source string, _j long, _slot long, _w long"
-    )
-    n = sum(r["count"] for r in sizes)
-    last = max((-(-r["count"] // block_rows) // used[r["_source"]] + 1) * total for r in sizes) if sizes else 1
-    span = max(-(-last // MAX_BUCKETS), 1)
-
-    keyed = keyed.withColumn("_key", shuffled_key(F.col("doc_id"), seed))
-    ties = [F.col(c) for c, kind in rows.dtypes if c not in ("doc_id", source) and not kind.startswith(("map", "variant"))]
-    ranked = with_rank(keyed, ["_source"], hash_bucket(F.col("_key"), buckets_for(n)), [F.col("_key"), F.col("doc_id"), *ties], "_rank")
-    ranked = ranked.withColumn("_block", F.expr(f"_rank div {int(block_rows)}"))
+    period = spark.createDataFrame([(s, j, slot, used[s]) for slot, (s, j) in enumerate(plan)], "source string, j long, slot long, w long")
+    n = sum(sizes.values())
+
+    ranked = with_rank(keyed, ["source"], hash_bucket(F.col("key"), buckets_for(n)), [F.col("key"), doc_id, *ties], "rank")
+    ranked = ranked.select("row", "source", "rank", F.expr(f"rank div {int(block_rows)}").alias("block"))
     # The period is bounded by MAX_PERIOD rows of four small columns, so it can be broadcast.
-    weight_of = F.broadcast(period.groupBy("_source").agg(F.first("_w").alias("_w")))
+    weight_of = F.broadcast(period.groupBy("source").agg(F.first("w").alias("w")))
     slotted = (
-        ranked.join(weight_of, "_source")
-        .withColumn("_j", F.expr("_block % _w"))
-        .join(F.broadcast(period.drop("_w")), ["_source", "_j"])
-        .withColumn("mix_slot", F.expr(f"(_block div _w) * {total} + _slot"))
-    )
-    placed = with_rank(
-        slotted.withColumn("_all", F.lit(0)), ["_all"], F.expr(f"mix_slot div {span}"),
-        [F.col("mix_slot"), F.col("_rank")], "mix_position", ranged=True,
+        ranked.join(weight_of, "source").withColumn("j", F.expr("block % w"))
+        .join(F.broadcast(period.drop("w")), ["source", "j"])
+        .select("row", "rank", F.expr(f"(block div w) * {total} + slot").alias("mix_slot"))
     )
-    return placed.drop("_source", "_key", "_rank", "_rank_total", "_block", "_w", "_j", "_slot", "_all", "mix_position_total")
+    # Rows are dealt in ranges of slots; how many rows come before each follows from the plan.
+    span, before = _before(plan, sizes, used, block_rows)
+    offsets = spark.createDataFrame(list(enumerate(before)), "bucket long, before long")
+    dealt = slotted.withColumn("bucket", F.expr(f"mix_slot div {span}")).repartitionByRange("bucket")
+    placed = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("mix_slot", "rank")))
+    # At most MAX_BUCKETS rows of two numbers.
+    return placed.join(F.broadcast(offsets), "bucket").select("row.*", "mix_slot", (F.col("before") + F.col("nth") - 1).alias("mix_position"))
+
+
+def _before(plan: list[tuple[str, int]], sizes: dict[str, int], weights: dict[str, int], block_rows: int) -> tuple[int, list[int]]:
+    """(slots of a range, number of rows in all slots before each range). By
+    slot q a source has had weight x full periods blocks, and those of its
+    slots in the last period that lie before q; all blocks but its last are full."""
+    total = len(plan) or 1
+    last = max(((-(-n // block_rows)) // weights[s] + 1) * total for s, n in sizes.items()) if sizes else 1
+    buckets = max(1, min(MAX_BUCKETS, LOOKUPS // max(len(sizes), 1)))
+    span = -(-last // buckets)
+    slots: dict[str, list[int]] = {s: [] for s in sizes}
+    for slot, (s, _) in enumerate(plan):
+        slots[s].append(slot)
+    starts = [(q // total, q % total) for q in range(0, last, span)]
+    before = [0] * len(starts)
+    for s, n in sizes.items():
+        w, had = weights[s], slots[s]
+        for i, (periods, rest) in enumerate(starts):
+            before[i] += min(n, block_rows * (periods * w + bisect_left(had, rest)))
+    return span, before

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, hash_bucket, shuffled_key, unclashing, with_rank
+from .common import boxed, buckets_for, hash_bucket, shuffled_key, with_rank
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 7, stratum: str = "source") -> DataFrame:
@@ -25,22 +25,19 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 7, stratum: str = "sourc
     by hashed or rank buckets, never by stratum, so a stratum with a third of
     all rows is no larger a task than others.
     """
-    rows = unclashing(docs, ["shard", "slot"])
+    rows, ties = boxed(docs, ["shard", "slot"])
     n = rows.count()
     buckets = buckets_for(n)
-    keyed = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("-")))
-    keyed = keyed.withColumn("_key", shuffled_key(F.col("doc_id"), seed))
+    doc_id = F.col("row").getField("doc_id")
+    own = F.coalesce(F.concat(F.lit("s"), F.col("row").getField(stratum).cast("string")), F.lit("-"))
+    keyed = rows.select("row", own.alias("stratum"), shuffled_key(doc_id, seed).alias("key"))
     # Ties by doc_id are repeated ids: any remaining columns that differ decide.
-    ties = [F.col(c) for c, kind in rows.dtypes if c not in ("doc_id", stratum) and not kind.startswith(("map", "variant"))]
-    ranked = with_rank(keyed, ["_stratum"], hash_bucket(F.col("_key"), buckets), [F.col("_key"), F.col("doc_id"), *ties], "_rank")
-    frac = ranked.withColumn("_place", (2 * F.col("_rank") + 1) / (2 * F.col("_rank_total")))
+    ranked = with_rank(keyed, ["stratum"], hash_bucket(F.col("key"), buckets), [F.col("key"), doc_id, *ties], "rank")
+    frac = ranked.withColumn("place", (2 * F.col("rank") + 1) / (2 * F.col("rank_total")))
     placed = with_rank(
-        frac.withColumn("_all", F.lit(0)), ["_all"], (F.col("_place") * buckets).cast("long"),
-        [F.col("_place"), F.col("_stratum"), F.col("_rank")], "_pos",
+        frac.withColumn("all", F.lit(0)), ["all"], (F.col("place") * buckets).cast("long"),
+        [F.col("place"), F.col("stratum"), F.col("rank")], "pos",
     )
     # Shard k holds positions from ceil(k*n/shards) up to the next one's first.
-    return (
-        placed.withColumn("shard", F.expr(f"cast(_pos * {int(shards)} div _pos_total as int)"))
-        .withColumn("slot", F.expr(f"_pos - (shard * _pos_total + {int(shards) - 1}) div {int(shards)}"))
-        .drop("_stratum", "_key", "_rank", "_rank_total", "_place", "_all", "_pos", "_pos_total")
-    )
+    numbered = placed.withColumn("shard", F.expr(f"cast(pos * {int(shards)} div pos_total as int)"))
+    return numbered.select("row.*", "shard", F.expr(f"pos - (shard * pos_total + {int(shards) - 1}) div {int(shards)}").alias("slot"))

@@ -1,6 +1,7 @@
 """Sharding and mixing."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -88,3 +89,31 @@ def test_odd_rows(spark, f, names):
         assert sorted((r["shard"], r["slot"]) for r in out) == sorted((s, k) for s, n in by.items() for k in range(n))
     else:
         assert sorted(r["mix_position"] for r in out) == list(range(len(rows)))
+
+
+CLASHING = ["_w", "_slot", "_source", "_bucket", "_all", "_key", "_row", "row", "rank", "source2", "key", "block", "bucket", "before", "nth", "place", "pos", "j", "w", "slot2", "stratum", "all"]
+
+
+def test_any_column_names_stay(spark):
+    names = ["doc_id", "source", *CLASHING]
+    rows = [(i, "ab"[i % 2], *[f"{c}{i}" for c in CLASHING]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for out, more in ((mixing.mix(docs), ["mix_slot", "mix_position"]), (sharding.shard(docs), ["shard", "slot"])):
+        assert out.columns == names + more
+        assert sorted(tuple(r)[: len(names)] for r in out.collect()) == rows
+
+
+def test_rows_before_a_range_of_slots(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(30):
+        weights = {f"s{i}": rng.randint(1, 6) for i in range(rng.randint(1, 5))}
+        sizes = {s: rng.randint(1, 300) for s in weights}
+        monkeypatch.setattr(mixing, "LOOKUPS", rng.choice([10, 50, 5000]))
+        plan = mixing.pfair_period(weights)
+        span, before = mixing._before(plan, sizes, weights, 4)
+        at = []
+        for s, n in sizes.items():
+            slots = [slot for slot, (x, _) in enumerate(plan) if x == s]
+            at += [(r // 4 // weights[s]) * len(plan) + slots[r // 4 % weights[s]] for r in range(n)]
+        assert before == [sum(x < b * span for x in at) for b in range(len(before))]
+        assert len(before) * span > max(at)
