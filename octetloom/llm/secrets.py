@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unclashing
+from .common import boxed
 
 ASSIGN = (
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,6 +47,8 @@ ALLOWED = (
     rf"^[/_=+-]*{_WORD}([/_=+-]+{_WORD})*[/_=+-]*$",  # names of words
 )
 
+#: Matches of a text whose places are listed at a time.
+BLOCK = 256
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -57,18 +59,24 @@ def _sql(s: str) -> str:
 def _places(found: str, gaps: str, rank: int, keep: str = "true") -> str:
     """Spans (start, rank, end) of the strings ``found``, between which ``gaps``
     stand, as running sums of their lengths in code points."""
+    span = "struct<start: bigint, rank: int, stop: bigint, ok: boolean>"
+    # Built in blocks: a list that grew by one each time would be copied as often.
     return f"""
-        filter(aggregate(
-            sequence(0, size({found}) - 1),
-            struct(0L AS at, cast(array() AS array<struct<start: bigint, rank: int, stop: bigint, ok: boolean>>) AS spans),
-            (acc, i) -> struct(
-                acc.at + length({gaps}[i]) + length({found}[i]) AS at,
-                concat(acc.spans, array(named_struct(
-                    'start', acc.at + length({gaps}[i]), 'rank', {rank},
-                    'stop', acc.at + length({gaps}[i]) + length({found}[i]), 'ok', {keep}
-                ))) AS spans
-            )
-        ).spans, s -> s.ok)"""
+        filter(flatten(aggregate(
+            sequence(0, (size({found}) - 1) div {BLOCK}),
+            named_struct('at', 0L, 'spans', cast(array() AS array<array<{span}>>)),
+            (o, b) -> transform(array(aggregate(
+                sequence(cast(b * {BLOCK} AS int), cast(least(size({found}), b * {BLOCK} + {BLOCK}) - 1 AS int)),
+                named_struct('at', o.at, 'spans', cast(array() AS array<{span}>)),
+                (acc, i) -> named_struct(
+                    'at', acc.at + length({gaps}[i]) + length({found}[i]),
+                    'spans', concat(acc.spans, array(named_struct(
+                        'start', acc.at + length({gaps}[i]), 'rank', {rank},
+                        'stop', acc.at + length({gaps}[i]) + length({found}[i]), 'ok', {keep}
+                    )))
+                )
+            )), g -> named_struct('at', g.at, 'spans', concat(o.spans, array(g.spans))))[0]
+        ).spans), s -> s.ok)"""
 
 
 def _weight(n: str) -> str:
@@ -123,17 +131,16 @@ def find(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     Null and empty texts have no spans; every row stays, repeated or not;
     an input column named ``spans`` is replaced. Nothing is shuffled.
     """
-    rows = unclashing(docs, ["spans"])
-    own = rows.columns
+    rows, _ = boxed(docs, ["spans"])
     some = lambda a, p: f"IF(size({a}) > 0, split(_t, {_sql(p)}, -1), cast(array() AS array<string>))"
-    t = rows.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    t = rows.withColumn("_t", F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")))
     patterns = {"_a": ASSIGN, "_k": ACCESS, "_h": HEX, "_c": CANDIDATE}
     t = t.selectExpr("*", *[f"regexp_extract_all(_t, {_sql(p)}, 0) AS {c}" for c, p in patterns.items()])
     t = t.selectExpr(
         "*", *[f"{some(c, p)} AS {c}g" for c, p in patterns.items()],
         f"IF(size(_a) > 0, regexp_extract_all(_t, {_sql(ASSIGN)}, 2), cast(array() AS array<string>)) AS _v",
     )
-    t = t.selectExpr(*[f"`{c}`" for c in own], "_c", "_cg", *[
+    t = t.selectExpr("row", "_c", "_cg", *[
         f"IF(size({c}) > 0, {_places(c, c + 'g', rank, keep)}, cast(array() AS array<struct<start: bigint, rank: int, stop: bigint, ok: boolean>>)) AS {c}s"
         for rank, (c, keep) in enumerate((("_a", f"length(_v[i]) >= {ASSIGN_LEAST}"), ("_k", "true"), ("_h", "true")))
     ], f"IF(size(_c) > 0, {_places('_c', '_cg', 3)}, cast(array() AS array<struct<start: bigint, rank: int, stop: bigint, ok: boolean>>)) AS _cs")
@@ -153,7 +160,7 @@ def find(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
         ), s -> s.ok AND {clear.format(a='s.start', e='s.stop')}),
         cast(array() AS array<struct<start: bigint, rank: int, stop: bigint, ok: boolean>>)) AS _e""")
     return t.selectExpr(
-        *[f"`{c}`" for c in own],
+        "row.*",
         "transform(array_sort(concat(_base, _e)), s -> named_struct('start', s.start, 'rank', s.rank, 'stop', s.stop)) AS spans",
     )
 
@@ -176,13 +183,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
             named_struct('at', greatest(acc.at, s.stop), 'out', acc.out),
             named_struct('at', s.stop, 'out', concat(acc.out, substring(`{text}`, cast(acc.at + 1 AS int), cast(s.start - acc.at AS int)), {mark_sql}))),
         acc -> concat(acc.out, substring(`{text}`, cast(acc.at + 1 AS int))))"""
-    rows = rows.selectExpr("*", f"IF(size(spans) > 0, {new}, `{text}`) AS _new")
+    fresh = "new_" + "_".join(docs.columns)  # longer than any name of the input
+    rows = rows.selectExpr("*", f"IF(size(spans) > 0, {new}, `{text}`) AS `{fresh}`")
     out = []
     for c in docs.columns:
         if c == text:
-            out.append(f"_new AS `{c}`")
+            out.append(f"`{fresh}` AS `{c}`")
         elif c.lower() == "n_chars":
-            out.append(f"IF(size(spans) > 0, cast(length(_new) AS {dict(docs.dtypes)[c]}), `{c}`) AS `{c}`")
+            out.append(f"IF(size(spans) > 0, cast(length(`{fresh}`) AS {dict(docs.dtypes)[c]}), `{c}`) AS `{c}`")
         elif c.lower() != "spans":
             out.append(f"`{c}`")
     return rows.selectExpr(*out)

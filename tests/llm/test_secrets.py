@@ -105,3 +105,14 @@ def test_letters_only_keys_and_keys_beside_others_are_found(spark):
     assert "wJal" not in out[1] and out[1].endswith(" end") and out[3] == texts[3]
     spans = {r["doc_id"]: r["n"] for r in secrets.find(docs).selectExpr("doc_id", "size(spans) AS n").collect()}
     assert spans == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
+def test_any_column_names_stay_and_many_matches_have_their_places(spark):
+    names = ["_a", "_base", "_t", "_c", "_e", "_new", "row", "s", "acc"]
+    text = "x token=abcdef1 " * 1000
+    docs = spark.createDataFrame([(1, text, *names)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    found = secrets.find(docs).first()
+    assert list(found)[:-1] == [1, text, *names]
+    assert [(s["start"], s["rank"], s["stop"]) for s in found["spans"]] == [(16 * i + 2, 0, 16 * i + 15) for i in range(1000)]
+    redacted = secrets.redact(docs).first()
+    assert redacted["text"] == "x [secret] " * 1000 and list(redacted)[2:] == names
