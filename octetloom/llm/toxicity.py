@@ -15,14 +15,6 @@ from .quality import _BASE, _MIX, CHUNK_BYTES, _chunks, _powers, _text_sums, lab
 
 #: Most labelled documents that the models are fitted on (a seeded sample).
 SAMPLE_ROWS = 3000
-#: Absolute discount of all orders.
-DISCOUNT = 0.75
-#: An expression has class counts if they differ from the classes' sizes by
-#: this log-likelihood statistic at least; all others, the rare ones among
-#: them, are left to the shared lower order, so that they favour no class.
-#: The classes' rates must also differ by this factor.
-LEAST_FACTOR = 4.0
-LEAST_WORD, LEAST_PAIR = 15.0, 25.0
 FOLDS = 3
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -81,7 +73,7 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float
 class Ratios:
     """Log ratios, toxic over ordinary, that scoring needs: of words at the
     lower order (all others: ``other``), of the backoff weight of contexts, and
-    of pairs that have class counts."""
+    of pairs that were seen."""
 
     words: np.ndarray
     word_ratio: np.ndarray
@@ -98,69 +90,68 @@ class Ratios:
             return np.zeros(len(texts))
         pair, before = _pairs(words, counts)
         backed_off = _look(self.words, self.word_ratio, words, self.other) + _look(self.contexts, self.context_ratio, before)
-        known = np.full(len(words), np.nan)
         known = _look(self.pairs, self.pair_ratio, pair, np.nan)
         return _text_sums(np.where(np.isnan(known), backed_off, known), counts) / np.maximum(counts, 1)
 
 
-def _evidence(count: np.ndarray, totals: np.ndarray, split: np.ndarray | None = None) -> np.ndarray:
-    """The G statistic of two classes' counts against the classes' totals, or
-    against a ``split`` of each count; 0 where their smoothed rates are less
-    than LEAST_FACTOR apart."""
-    if split is None:
-        split = np.repeat((totals / max(totals.sum(), 1))[:, None], count.shape[1], axis=1)
-    expected = count.sum(axis=0) * split
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * np.where(count > 0, count * np.log(count / expected), 0).sum(axis=0)
-    rate = (count + 0.5) / (expected + 0.5)
-    return np.where(np.abs(np.log(rate[1] / rate[0])) >= np.log(LEAST_FACTOR), g, 0)
+def _discounted(count: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """Counts less their discount: what each class would have by this split of
+    the shared counts, and the largest deviation that chance gives among so many.
+    Counts of one or a few are discounted whole unless next to nothing was expected."""
+    shared = count.sum(axis=0)
+    largest = np.sqrt(2 * np.log(max(count.shape[1], 2)))
+    return np.maximum(count - shared * split - largest * np.sqrt(shared * split * (1 - split)), 0)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> Ratios:
     """Interpolated Kneser-Ney models of both classes, as ratios. Copies of a
-    text count once.
-
-    Orders: word pairs by counts; words by continuation counts (distinct words
-    before them) within the class; then continuation counts of both classes
-    together. What a class has not seen it takes from the next order, so an
-    expression that neither has class counts for favours no class by itself.
+    text count once, and so do a document's repeats of a word pair.
+
+    Orders: word pairs by the number of documents of the class; words by how
+    many the class has them in; then words by continuation counts (distinct
+    words before them) of both classes together, with one for a word never
+    seen. Each order is discounted and gives the rest to the next. The discount
+    is not one number for all counts but what the class would have if it shared
+    its counts with the other by chance, so rare expressions, and common ones
+    that both use alike, lean on the shared counts and favour no class; an
+    expression that one class has far more than its share of keeps its counts.
     """
     once = sorted({t: i for i, t in enumerate(texts)}.values())
     toxic = np.asarray(toxic).astype(np.int64)[once]
     words, counts = word_hashes([texts[i] for i in once])
+    docs = np.repeat(np.arange(len(once)), counts)
     pair, before = _pairs(words, counts)
-    cls = np.repeat(toxic.astype(bool), counts)
-    # Distinct pairs with each class's count.
     keys, first, place = np.unique(pair, return_index=True, return_inverse=True)
-    count = np.stack([np.bincount(place[~cls], minlength=len(keys)), np.bincount(place[cls], minlength=len(keys))]).astype(np.float64)
     word_of, context_of = words[first], before[first]
-    # Lower order: continuation counts.
+    # Each class's documents of a pair, and of a word.
+    in_doc = np.unique(place * len(once) + docs)
+    own_pair, cls = in_doc // len(once), toxic[in_doc % len(once)]
+    count = np.stack([np.bincount(own_pair[cls == c], minlength=len(keys)) for c in (0, 1)]).astype(np.float64)
     vocab, w_place = np.unique(word_of, return_inverse=True)
-    cont = np.stack([np.bincount(w_place, c > 0, minlength=len(vocab)) for c in count])
-    shared = np.bincount(w_place, minlength=len(vocab)) + 0.5
-    shared = shared / (shared.sum() + 0.5)
-    own = np.where(_evidence(cont, cont.sum(axis=1)) >= LEAST_WORD, np.maximum(cont - DISCOUNT, 0), 0) / np.maximum(cont.sum(axis=1, keepdims=True), 1)
+    in_doc = np.unique(w_place[place] * len(once) + docs)
+    own_word, cls = in_doc // len(once), toxic[in_doc % len(once)]
+    alone = np.stack([np.bincount(own_word[cls == c], minlength=len(vocab)) for c in (0, 1)]).astype(np.float64)
+    # Shared continuation counts, then each class's words.
+    shared = np.bincount(w_place, minlength=len(vocab)).astype(np.float64)
+    new = 1 / (shared.sum() + 1)
+    shared *= (1 - new) / max(shared.sum(), 1)
+    sums = np.maximum(alone.sum(axis=1, keepdims=True), 1)
+    own = _discounted(alone, sums / sums.sum()) / sums
     rest = 1 - own.sum(axis=1, keepdims=True)
     low = own + rest * shared
-    # Higher order: pairs.
+    # Pairs: what is expected is how the second word alone is split, its rate
+    # in each class being that of the lower order.
+    split = low * sums
+    split = (split / split.sum(axis=0))[:, w_place]
     contexts, c_place = np.unique(context_of, return_inverse=True)
     total = np.stack([np.bincount(c_place, c, minlength=len(contexts)) for c in count])
-    # A pair's evidence is in documents, however often each repeats it, and
-    # counts beyond how its second word alone is split between the classes.
-    docs = np.repeat(np.arange(len(once)), counts)
-    in_doc = np.unique(place * len(once) + docs)
-    by_class = [np.bincount(in_doc[toxic[in_doc % len(once)] == c] // len(once), minlength=len(keys)) for c in (0, 1)]
-    alone = np.stack([np.bincount(w_place, c, minlength=len(vocab)) for c in by_class]) + 0.5
-    split = (alone / alone.sum(axis=0))[:, w_place]
-    kept = _evidence(np.stack(by_class).astype(np.float64), alone.sum(axis=1), split) >= LEAST_PAIR
-    taken = np.where(kept, np.maximum(count - DISCOUNT, 0), 0) / np.maximum(total[:, c_place], 1)
+    taken = _discounted(count, split) / np.maximum(total[:, c_place], 1)
     back = 1 - np.stack([np.bincount(c_place, t, minlength=len(contexts)) for t in taken])
-    high = taken[:, kept] + back[:, c_place[kept]] * low[:, w_place[kept]]
+    high = taken + back[:, c_place] * low[:, w_place]
     ratio = lambda p: np.log(p[1]) - np.log(p[0])
-    seen = own.sum(axis=0) > 0
-    other = float(ratio(rest[:, 0]))
-    strong = np.abs(ratio(back)) > 0
-    return Ratios(vocab[seen], ratio(low)[seen], other, contexts[strong], ratio(back)[strong], keys[kept], ratio(high))
+    # Words and pairs that come out as any other would are left out.
+    seen, strong, kept = own.any(axis=0), np.abs(ratio(back)) > 0, taken.any(axis=0)
+    return Ratios(vocab[seen], ratio(low)[seen], float(ratio(rest[:, 0])), contexts[strong], ratio(back)[strong], keys[kept], ratio(high)[kept])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
