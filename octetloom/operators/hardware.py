@@ -8,18 +8,32 @@ from pyspark.sql import functions as F
 from ..functions import bytes as B
 
 REGISTER_BASE = 0xDFF000
-#: Bounds of the address ranges of subsystems: fixed values of the chip set.
-SUBSYSTEMS = ((0x000, 0x020, "control"), (0x020, 0x040, "disk"), (0x040, 0x080, "blitter"), (0x080, 0x0A0, "display"), (0x0A0, 0x0E0, "audio"), (0x0E0, 0x120, "bitplane"), (0x120, 0x180, "sprite"), (0x180, 0x1C0, "colour"))
-#: Offsets and names of registers: fixed values of the chip set.
+#: Subsystems and the ranges of offsets (ends included) that they hold, in the
+#: order in which they are looked up: fixed values.
+SUBSYSTEMS = (
+    ("dma", ((0x002, 0x002), (0x096, 0x096))),
+    ("interrupt", ((0x018, 0x018), (0x01C, 0x01C), (0x01E, 0x01E), (0x09A, 0x09A), (0x09C, 0x09C))),
+    ("disk", ((0x01A, 0x01A), (0x020, 0x024), (0x07E, 0x07E))),
+    ("serial", ((0x030, 0x030), (0x032, 0x032))),
+    ("blitter", ((0x040, 0x074),)),
+    ("copper", ((0x080, 0x08C),)),
+    ("display", ((0x08E, 0x094), (0x098, 0x098), (0x100, 0x10E))),
+    ("audio", ((0x09E, 0x09E), (0x0A0, 0x0DF))),
+    ("bitplane", ((0x0E0, 0x0FE), (0x110, 0x11E))),
+    ("sprite", ((0x120, 0x17E),)),
+    ("color", ((0x180, 0x1BE),)),
+)
+#: Offsets and names of single registers: fixed values.
 NAMED = {
-    0x002: "DMACONR", 0x004: "VPOSR", 0x006: "VHPOSR", 0x008: "DSKDATR", 0x00A: "JOY0DAT", 0x00C: "JOY1DAT", 0x010: "ADKCONR", 0x016: "POTGOR",
-    0x018: "SERDATR", 0x01A: "DSKBYTR", 0x01C: "INTENAR", 0x01E: "INTREQR", 0x020: "DSKPTH", 0x022: "DSKPTL", 0x024: "DSKLEN", 0x02A: "VPOSW",
+    0x002: "DMACONR", 0x004: "VPOSR", 0x006: "VHPOSR", 0x00A: "JOY0DAT", 0x00C: "JOY1DAT", 0x00E: "CLXDAT", 0x010: "ADKCONR", 0x016: "POTGOR",
+    0x01A: "DSKBYTR", 0x01C: "INTENAR", 0x01E: "INTREQR", 0x020: "DSKPTH", 0x022: "DSKPTL", 0x024: "DSKLEN", 0x02A: "VPOSW", 0x02C: "VHPOSW",
     0x02E: "COPCON", 0x030: "SERDAT", 0x032: "SERPER", 0x034: "POTGO", 0x040: "BLTCON0", 0x042: "BLTCON1", 0x044: "BLTAFWM", 0x046: "BLTALWM",
     0x048: "BLTCPTH", 0x04A: "BLTCPTL", 0x04C: "BLTBPTH", 0x04E: "BLTBPTL", 0x050: "BLTAPTH", 0x052: "BLTAPTL", 0x054: "BLTDPTH", 0x056: "BLTDPTL",
-    0x058: "BLTSIZE", 0x060: "BLTCMOD", 0x062: "BLTBMOD", 0x064: "BLTAMOD", 0x066: "BLTDMOD", 0x070: "BLTCDAT", 0x072: "BLTBDAT", 0x074: "BLTADAT",
-    0x07E: "DSKSYNC", 0x080: "COP1LCH", 0x082: "COP1LCL", 0x084: "COP2LCH", 0x086: "COP2LCL", 0x088: "COPJMP1", 0x08A: "COPJMP2", 0x08E: "DIWSTRT",
-    0x090: "DIWSTOP", 0x092: "DDFSTRT", 0x094: "DDFSTOP", 0x096: "DMACON", 0x098: "CLXCON", 0x09A: "INTENA", 0x09C: "INTREQ", 0x09E: "ADKCON",
-    0x100: "BPLCON0", 0x102: "BPLCON1", 0x104: "BPLCON2", 0x108: "BPL1MOD", 0x10A: "BPL2MOD",
+    0x058: "BLTSIZE", 0x05A: "BLTCON0L", 0x05C: "BLTSIZV", 0x05E: "BLTSIZH", 0x060: "BLTCMOD", 0x062: "BLTBMOD", 0x064: "BLTAMOD", 0x066: "BLTDMOD",
+    0x070: "BLTCDAT", 0x072: "BLTBDAT", 0x074: "BLTADAT", 0x07E: "DSKSYNC", 0x080: "COP1LCH", 0x082: "COP1LCL", 0x084: "COP2LCH", 0x086: "COP2LCL",
+    0x088: "COPJMP1", 0x08A: "COPJMP2", 0x08C: "COPINS", 0x08E: "DIWSTRT", 0x090: "DIWSTOP", 0x092: "DDFSTRT", 0x094: "DDFSTOP", 0x096: "DMACON",
+    0x098: "CLXCON", 0x09A: "INTENA", 0x09C: "INTREQ", 0x09E: "ADKCON", 0x100: "BPLCON0", 0x102: "BPLCON1", 0x104: "BPLCON2", 0x106: "BPLCON3",
+    0x108: "BPL1MOD", 0x10A: "BPL2MOD", 0x1DC: "BEAMCON0", 0x1E4: "DIWHIGH", 0x1FC: "FMODE",
 }
 
 
@@ -29,7 +43,7 @@ def _numbered() -> dict[int, str]:
     for n in range(4):
         for i, part in enumerate(("LCH", "LCL", "LEN", "PER", "VOL", "DAT")):
             out[0x0A0 + 16 * n + 2 * i] = f"AUD{n}{part}"
-    for n in range(6):
+    for n in range(8):
         out[0x0E0 + 4 * n], out[0x0E2 + 4 * n], out[0x110 + 2 * n] = f"BPL{n + 1}PTH", f"BPL{n + 1}PTL", f"BPL{n + 1}DAT"
     for n in range(8):
         out[0x120 + 4 * n], out[0x122 + 4 * n] = f"SPR{n}PTH", f"SPR{n}PTL"
@@ -40,9 +54,13 @@ def _numbered() -> dict[int, str]:
     return out
 
 
+def subsystem(offset: int) -> str:
+    return next((name for name, ranges in SUBSYSTEMS if any(a <= offset <= b for a, b in ranges)), "other")
+
+
 def register_rows() -> list[tuple[int, str, str]]:
     names = NAMED | _numbered()
-    return [(k, names[k], next((s for a, b, s in SUBSYSTEMS if a <= k < b), "other")) for k in sorted(names)]
+    return [(k, names[k], subsystem(k)) for k in sorted(names)]
 
 
 def register_map(spark: SparkSession) -> DataFrame:

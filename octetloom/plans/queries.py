@@ -464,7 +464,29 @@ def backward_slice(spark, sf_dir):
 
 # -- hardware -----------------------------------------------------------------
 
-_REGISTERS = "(VALUES " + ", ".join(f"({k}, '{n}', '{s}')" for k, n, s in hardware.register_rows()) + ") AS r(\"offset\", name, subsystem)"
+#: Written apart from the operator's table: families by arithmetic, single registers by name.
+_REGISTERS = """(WITH o AS (SELECT unnest(range(0, 512, 2)) AS k), single AS (SELECT * FROM (VALUES
+        (2, 'DMACONR'), (4, 'VPOSR'), (6, 'VHPOSR'), (10, 'JOY0DAT'), (12, 'JOY1DAT'), (14, 'CLXDAT'), (16, 'ADKCONR'), (22, 'POTGOR'), (26, 'DSKBYTR'), (28, 'INTENAR'),
+        (30, 'INTREQR'), (32, 'DSKPTH'), (34, 'DSKPTL'), (36, 'DSKLEN'), (42, 'VPOSW'), (44, 'VHPOSW'), (46, 'COPCON'), (48, 'SERDAT'), (50, 'SERPER'), (52, 'POTGO'),
+        (64, 'BLTCON0'), (66, 'BLTCON1'), (68, 'BLTAFWM'), (70, 'BLTALWM'), (72, 'BLTCPTH'), (74, 'BLTCPTL'), (76, 'BLTBPTH'), (78, 'BLTBPTL'), (80, 'BLTAPTH'),
+        (82, 'BLTAPTL'), (84, 'BLTDPTH'), (86, 'BLTDPTL'), (88, 'BLTSIZE'), (90, 'BLTCON0L'), (92, 'BLTSIZV'), (94, 'BLTSIZH'), (96, 'BLTCMOD'), (98, 'BLTBMOD'),
+        (100, 'BLTAMOD'), (102, 'BLTDMOD'), (112, 'BLTCDAT'), (114, 'BLTBDAT'), (116, 'BLTADAT'), (126, 'DSKSYNC'), (128, 'COP1LCH'), (130, 'COP1LCL'), (132, 'COP2LCH'),
+        (134, 'COP2LCL'), (136, 'COPJMP1'), (138, 'COPJMP2'), (140, 'COPINS'), (142, 'DIWSTRT'), (144, 'DIWSTOP'), (146, 'DDFSTRT'), (148, 'DDFSTOP'), (150, 'DMACON'),
+        (152, 'CLXCON'), (154, 'INTENA'), (156, 'INTREQ'), (158, 'ADKCON'), (256, 'BPLCON0'), (258, 'BPLCON1'), (260, 'BPLCON2'), (262, 'BPLCON3'), (264, 'BPL1MOD'),
+        (266, 'BPL2MOD'), (476, 'BEAMCON0'), (484, 'DIWHIGH'), (508, 'FMODE')) AS t(k, name)),
+    named AS (SELECT o.k, CASE
+        WHEN o.k BETWEEN 160 AND 223 THEN 'AUD' || ((o.k - 160) // 16) || ['LCH', 'LCL', 'LEN', 'PER', 'VOL', 'DAT'][(o.k - 160) % 16 // 2 + 1]
+        WHEN o.k BETWEEN 224 AND 255 THEN 'BPL' || ((o.k - 224) // 4 + 1) || ['PTH', 'PTL'][o.k % 4 // 2 + 1]
+        WHEN o.k BETWEEN 272 AND 287 THEN 'BPL' || ((o.k - 272) // 2 + 1) || 'DAT'
+        WHEN o.k BETWEEN 288 AND 319 THEN 'SPR' || ((o.k - 288) // 4) || ['PTH', 'PTL'][o.k % 4 // 2 + 1]
+        WHEN o.k BETWEEN 320 AND 383 THEN 'SPR' || ((o.k - 320) // 8) || ['POS', 'CTL', 'DATA', 'DATB'][o.k % 8 // 2 + 1]
+        WHEN o.k BETWEEN 384 AND 447 THEN 'COLOR' || lpad(((o.k - 384) // 2)::VARCHAR, 2, '0')
+        ELSE single.name END AS name FROM o LEFT JOIN single ON single.k = o.k)
+    SELECT k::INTEGER AS "offset", name, CASE WHEN k IN (2, 150) THEN 'dma' WHEN k IN (24, 28, 30, 154, 156) THEN 'interrupt'
+        WHEN k IN (26, 126) OR k BETWEEN 32 AND 36 THEN 'disk' WHEN k IN (48, 50) THEN 'serial' WHEN k BETWEEN 64 AND 116 THEN 'blitter' WHEN k BETWEEN 128 AND 140 THEN 'copper'
+        WHEN k BETWEEN 142 AND 148 OR k = 152 OR k BETWEEN 256 AND 270 THEN 'display' WHEN k BETWEEN 158 AND 223 THEN 'audio'
+        WHEN k BETWEEN 224 AND 254 OR k BETWEEN 272 AND 286 THEN 'bitplane' WHEN k BETWEEN 288 AND 382 THEN 'sprite' WHEN k BETWEEN 384 AND 446 THEN 'color' ELSE 'other' END AS subsystem
+    FROM named WHERE name IS NOT NULL) AS r"""
 
 
 @query(f"SELECT \"offset\", name, subsystem FROM {_REGISTERS}")

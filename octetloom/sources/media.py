@@ -97,11 +97,11 @@ _MODULE_HEADER = 1084
 
 
 def channel_count(signature: bytes) -> int | None:
-    if signature in (b"M.K.", b"M!K!", b"FLT4", b"4CHN"):
+    if signature in (b"M.K.", b"M!K!", b"M&K!", b"FLT4", b"4CHN"):
         return 4
     if signature in (b"FLT8", b"CD81", b"OKTA"):
         return 8
-    m = re.fullmatch(rb"([1-9])CHN|([0-9]{2})C[HN]", signature)
+    m = re.fullmatch(rb"([0-9])CHN|([0-9]{2})CH", signature)
     n = int(m[1] or m[2]) if m else 0
     return n if 1 <= n <= 32 else None
 
