@@ -162,13 +162,15 @@ def train(texts: list[bytes], labels: list[int], dim: int = 8, epochs: int = 4,
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, seed: int) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows`` labelled documents, chosen by a seeded
     hash of doc_id among those for which ``usable`` holds. Ids labelled twice
-    count once, with the larger label; null labels count as none."""
+    count once, with the larger label, and ids of several texts with the first of
+    these; null labels count as none."""
     kept = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & usable)
     kept = kept.groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = kept.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(rows)
     # At most ``rows`` pairs of numbers are broadcast.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    return [(r["text"] or "", r["label"]) for r in found.orderBy("doc_id", "text").limit(2 * rows).collect()]
+    once = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r["text"] or "", r["label"]) for r in once.orderBy("doc_id").collect()]
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:

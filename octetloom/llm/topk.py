@@ -27,11 +27,15 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of integers, exactly: in doubles where no sum can leave them."""
+    """a @ b.T of integers, exactly: in doubles where no sum can leave them.
+    Sums beyond a long become the nearest one."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.array([[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b] for p in a], dtype=np.int64).reshape(len(a), len(b))
+    least, most = -(2**63), 2**63 - 1
+    b = [[int(y) for y in q] for q in b]
+    sums = [[min(max(sum(int(x) * y for x, y in zip(p, q)), least), most) for q in b] for p in a]
+    return np.array(sums, dtype=np.int64).reshape(len(a), len(b))
 
 
 def best(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -66,3 +66,12 @@ def test_repeated_query_rows_cost_no_partners(spark):
         want[q] = [(n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     for q in (20, 40):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == want[q]
+
+
+def test_large_components_do_not_overflow(spark):
+    rows = [(0, [1e15, 1.0]), (1, [1e15, -1e15]), (2, [-1e15, 2.0]), (3, [1e30, 0.0]), (4, [0.5, 4.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    large = 64 * 10**15
+    scores = {r["vec_id"]: r["score"] for r in got}
+    assert scores == {1: 2**63 - 1, 2: -(2**63), 3: 2**63 - 1, 4: 32 * large + 64 * 256}
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 3, 4, 2]
