@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
 from ..functions.windows import islands
 
 
@@ -63,36 +64,51 @@ def bounds(differences: DataFrame) -> DataFrame:
     )
 
 
-def connected_regions(points: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_regions(points: DataFrame) -> DataFrame:
     """4-connected regions of points (x, y): (region, pixels, left, top, right,
     bottom), region being the number of its first run in reading order.
 
     Runs of a row are found first; runs of neighbouring rows that overlap are
-    linked, and the least number spreads along links. Runs are far fewer than
-    points, and their links at most twice as many.
+    linked, and links contract to stars, in rounds that grow with the logarithm
+    of a region's runs. Runs are far fewer than points, and their links at most
+    twice as many. Each round is checkpointed.
     """
     runs = islands(points.select("x", "y").distinct(), ["y"], "x").groupBy("y", "island").agg(F.min("x").alias("a"), F.max("x").alias("z"), F.count(F.lit(1)).alias("n"))
-    runs = runs.withColumn("run", F.col("y") * (1 << 31) + F.col("a")).drop("island").persist()
+    runs = cut(runs.withColumn("run", F.col("y").cast("long") * (1 << 31) + F.col("a")).drop("island"))
     # Overlap of x in neighbouring rows, met on the row: buckets of 64 columns keep it an equi-join.
-    cut = runs.withColumn("bucket", F.explode(F.sequence(F.expr("a div 64"), F.expr("z div 64"))))
-    below = cut.select((F.col("y") - 1).alias("y"), "bucket", F.col("a").alias("a2"), F.col("z").alias("z2"), F.col("run").alias("run2"))
-    links = cut.join(below, ["y", "bucket"]).where("a <= z2 AND a2 <= z").select(F.col("run").alias("p"), F.col("run2").alias("q")).distinct()
-    links = links.unionByName(links.select(F.col("q").alias("p"), F.col("p").alias("q"))).persist()
-    label = runs.select("run", F.col("run").alias("region"))
-    for _ in range(rounds):
-        near = links.join(label, links.q == label.run).select(F.col("p").alias("run"), "region")
-        after = label.unionByName(near).groupBy("run").agg(F.min("region").alias("region")).persist()
-        moved = after.join(label.withColumnRenamed("region", "old"), "run").where("region < old").limit(1).count()
-        label = after
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"regions did not settle in {rounds} rounds")
-    return runs.join(label, "run").groupBy("region").agg(
+    split = runs.withColumn("bucket", F.explode(F.sequence(F.expr("a div 64"), F.expr("z div 64"))))
+    below = split.select((F.col("y") - 1).alias("y"), "bucket", F.col("a").alias("a2"), F.col("z").alias("z2"), F.col("run").alias("q"))
+    links = split.join(below, ["y", "bucket"]).where("a <= z2 AND a2 <= z").select(F.col("run").alias("p"), "q").distinct()
+    roots = _roots(links)
+    label = runs.join(roots, "run", "left").withColumn("region", F.coalesce("root", "run"))
+    return label.groupBy("region").agg(
         F.sum("n").alias("pixels"), F.min("a").alias("left"), F.min("y").alias("top"), F.max("z").alias("right"), F.max("y").alias("bottom")
     )
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(run, root) of linked runs (p < q): root is the least that links reach.
+
+    Two kinds of steps take turns: every run hands its larger neighbours, then
+    its smaller ones and itself, to the least of its neighbourhood. That ends
+    in stars around the roots, which are unchanged by both.
+    """
+    links, before = cut(links), None
+    while True:
+        for larger in (True, False):
+            back = links.select(F.col("q").alias("p"), F.col("p").alias("q"))
+            near = links.unionByName(back) if larger else back
+            least = near.groupBy("p").agg(F.min("q").alias("m")).select("p", F.least("p", "m").alias("m"))
+            out = near.join(least, "p").where("q > p" if larger else "q > m").select(F.col("m").alias("p"), "q")
+            if not larger:
+                out = out.unionByName(least.where("p > m").select(F.col("m").alias("p"), F.col("p").alias("q")))
+            links = cut(out.where("p < q").distinct())
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("p", "q").cast("decimal(38,0)"))).first()
+        if now == before:
+            return links.select(F.col("q").alias("run"), F.col("p").alias("root"))
+        before = now
+
+
 def follows(df: DataFrame, key: str, order: str, columns: list[str], distance: int = 1) -> DataFrame:
     """The row ``distance`` later in each key, as columns next_<c>."""
     w = Window.partitionBy(key).orderBy(order)

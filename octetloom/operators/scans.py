@@ -98,12 +98,6 @@ def palette_runs(words: DataFrame, minimum: int = 8, key: str = "source_id") ->
 def palette_tables(sources: DataFrame, minimum: int = 8) -> DataFrame:
     """Palette tables in byte sources: (source_id, start, stop, colours). Found
     in the row: on the grid of even offsets, words 0x0000 to 0x0FFF."""
-    data = B.latin1(F.col("content"))
-    # Bytes from the first even offset on: pairs of (0x00-0x0F, any).
-    pattern = r"(?s)(?:[\x00-\x0f].){%d,}" % max(minimum, 2)
-    words = F.regexp_replace(data, r"(?s)([\x00-\x0f].)|(..)", "$1Ā$2ā")
-    del pattern, words
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []

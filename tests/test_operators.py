@@ -130,3 +130,12 @@ def test_first_divergence_of_missing_trace(spark):
     trace = spark.createDataFrame([("a", 0, "x"), ("a", 1, "x")], "record string, step long, address string")
     got = compare.first_divergence(trace, "record", "step", "address", "a", "b").first()
     assert (got["step"], got["a"], got["b"], got["occurrence_a"]) == (0, "x", None, 1)
+
+
+def test_regions_of_any_shape(spark):
+    line = [(3, y) for y in range(40)]  # a column of forty runs
+    comb = [(10 + x, 0) for x in range(20)] + [(10 + 2 * x, y) for x in range(10) for y in range(1, 6)]
+    points = spark.createDataFrame([*line, *comb, (50, 50)], "x long, y long")
+    got = sorted((r["pixels"], r["left"], r["top"], r["right"], r["bottom"]) for r in raster.connected_regions(points).collect())
+    assert got == [(1, 50, 50, 50, 50), (40, 3, 0, 3, 39), (70, 10, 0, 29, 5)]
+    assert raster.connected_regions(points.limit(0)).count() == 0
