@@ -48,13 +48,38 @@ def merged_strings(sources: DataFrame, minimum: int = 6, gap: int = MERGE_GAP) -
     return sources.select("source_id", F.explode(F.aggregate(spans, zero, step)).alias("m")).select("source_id", "m.*")
 
 
+#: Blocks of a source that are counted together.
+BLOCKS = 1024
+
+
 def entropy_map(sources: DataFrame, block: int = 256) -> DataFrame:
     """Entropy of fixed blocks with a class: (source_id, block, size, entropy, kind)."""
-    blocks = sources.select("source_id", F.posexplode(F.when(F.octet_length("content") > 0, F.transform(
-        F.sequence(F.lit(0), F.expr(f"cast((octet_length(content) - 1) div {block} AS int)")),
-        lambda i: F.substring(F.col("content"), i * block + 1, F.lit(block)),
-    ))).alias("block", "part"))
-    scored = blocks.select("source_id", F.col("block").cast("long").alias("block"), F.octet_length("part").cast("long").alias("size"), B.entropy(B.byte_array(F.col("part"))).alias("entropy"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out() -> pd.DataFrame:
+            keys = [k for k, part in found for _ in part[0]]
+            return pd.DataFrame({"source_id": keys, **{c: np.concatenate(x) for c, x in zip(("block", "size", "entropy"), zip(*(part for _, part in found)))}})
+
+        for b in batches:
+            found = []
+            for key, content in zip(b["source_id"], b["content"]):
+                data = np.frombuffer(content or b"", dtype=np.uint8)
+                for at in range(0, len(data), block * BLOCKS):
+                    part = data[at : at + block * BLOCKS].astype(np.int64)
+                    own = np.arange(len(part)) // block
+                    size = np.bincount(own)
+                    count = np.bincount(own * 256 + part, minlength=len(size) * 256).reshape(-1, 256)
+                    some = count[count > 1]
+                    sums = np.bincount(np.nonzero(count > 1)[0], some * np.log2(some), minlength=len(size))
+                    found.append((key, (at // block + np.arange(len(size)), size, np.log2(size) - sums / size)))
+                    if len(found) >= BLOCKS:
+                        yield out()
+                        found = []
+            if found:
+                yield out()
+
+    kept = dict(sources.dtypes)["source_id"]
+    scored = sources.select("source_id", "content").mapInPandas(scan, f"source_id {kept}, block long, size long, entropy double")
     kind = F.when(F.col("entropy") >= PACKED_BITS, "packed").when(F.col("entropy") <= SPARSE_BITS, "sparse").otherwise("mixed")
     return scored.withColumn("kind", kind)
 
