@@ -32,12 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows that Python workers get at once where rows hold whole texts.
+TEXT_ROWS = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    so a lost executor costs no more than the tasks it was running."""
+    so a lost executor costs no more than the tasks it was running. Python
+    workers get ``batch_rows`` rows at once at most, if given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch_rows and not 0 < int(before) <= batch_rows:
+        spark.conf.set(BATCH, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,7 @@ KINDS = 2 + len(CHAR_ORDERS)
 #: Most labelled documents that the classifier is fitted on (a seeded sample).
 SAMPLE_ROWS = 3000
 #: Texts hashed together, in bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
