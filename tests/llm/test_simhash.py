@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from octetloom.llm import simhash
+from octetloom.llm import components, simhash
+from octetloom.llm.common import materialize
 from octetloom.llm.components import smallest_reachable
 from octetloom.llm.queries import op9_simhash
 
@@ -105,6 +106,23 @@ def test_components_of_chains_and_stars(spark):
     assert smallest_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_many_edges_take_stars_and_few_none(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = list({tuple(sorted(rng.sample(range(400), 2))) for _ in range(230)})
+    root = {i: i for e in edges for i in e}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    made = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, *a: made.append(name) or materialize(df, name, *a))
+    for few in (0, len(edges)):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        frame = spark.createDataFrame(edges, "a long, b long")
+        assert {r["node"]: r["root"] for r in smallest_reachable(frame).collect()} == root
+        assert bool(made) == (few == 0)
+        made.clear()
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, fp long, component_id string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
