@@ -67,7 +67,7 @@ class Reader:
         own = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         rare = [flat[i] for i in (rare_at - own[rare_at]).tolist()]
         after = self.after[symbols]
-        after[rare_at] = [_ending(w) for w in rare]
+        after[rare_at] = [_ENDINGS[w[-2:]] for w in rare]
         before = np.empty_like(after)
         before[1:] = after[:-1]
         before[ends - sizes + 1] = BEFORE + ENDINGS
@@ -94,8 +94,19 @@ class Reader:
         return (data[at], contexts, (value << 8) | data[at]), own
 
 
+class _Endings(dict):
+    """The class of a word's last two bytes, remembered: there are 65,792 at most."""
+
+    def __missing__(self, last: bytes) -> int:
+        got = self[last] = BEFORE + zlib.crc32(last) % ENDINGS
+        return got
+
+
+_ENDINGS = _Endings()
+
+
 def _ending(word: bytes) -> int:
-    return BEFORE + zlib.crc32(word[-2:]) % ENDINGS
+    return _ENDINGS[word[-2:]]
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,9 +248,9 @@ class Scorer:
         logs = np.bincount(own, self.words.logs(*read), minlength=n) + self.hub[hub]
         known = symbols != self.reader.rare
         base = np.bincount(own[known], self.reader.base[symbols[known]], minlength=n)
-        number: dict[bytes, int] = {}
-        which = np.fromiter((number.setdefault(w, len(number)) for w in rare), dtype=np.int64, count=len(rare))
-        words = list(number)
+        words = list(dict.fromkeys(rare))
+        number = dict(zip(words, range(len(words))))
+        which = np.fromiter(map(number.__getitem__, rare), dtype=np.int64, count=len(rare))
         pair, often = np.unique(own[~known] * max(1, len(words)) + which, return_counts=True)
         cut = np.searchsorted(pair, np.arange(n + 1) * max(1, len(words)))
         pair %= max(1, len(words))
@@ -327,7 +338,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 words = [words_of(t) for t in part["text"]]
                 head = pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"],
-                    "n_tokens": [len(w) + 1 for w in words], "n_bytes": [sum(map(len, w)) + max(len(w), 1) for w in words],
+                    "n_tokens": [len(w) + 1 for w in words], "n_bytes": [len(b"".join(w)) + max(len(w), 1) for w in words],
                 })
                 yield pd.concat([head, scorer.measure(words)], axis=1)
 

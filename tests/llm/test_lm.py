@@ -216,3 +216,22 @@ def test_odd_rows(spark):
     nothing = lm.score(spark.createDataFrame([(1, "a b", "", "")], schema), F.lit(True)).first()
     assert (nothing["n_known"], nothing["train_tokens"], nothing["base_score"]) == (0, 0, 0.0)
     assert math.isfinite(nothing["score"])
+
+
+def test_quick_lookups_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    table, index = rng.random(500), rng.integers(0, 500, 4000).astype(np.int32)
+    assert (bitmodel._at(table, index) == table[index]).all()
+    for seen in (np.arange(900, dtype=np.uint32), np.array([0, 200, 1 << 31, (1 << 32) - 1], dtype=np.uint32), np.array([7, 1 << 40])):
+        assert (bitmodel._level(seen) == np.searchsorted(bitmodel.LEVELS, seen, side="right")).all()
+    some = np.sort(rng.choice(bitmodel.SLICE, 9000, replace=False))
+    counts = np.minimum(rng.zipf(1.5, (9000, 2)), 1 << 30).astype(np.uint32)
+    at, got = bitmodel._unpacked(bitmodel._packed(some, counts))
+    assert (at == some).all() and (got == counts).all()
+    # The map counts each bit where its log odds put it, zeros and ones apart.
+    learner = Learner(Shape(Code([3, 2, 1]), [Predictor(contexts=1)]))
+    learner.add(rng.integers(0, 3, 5000), [np.zeros(5000, dtype=np.int64)], np.arange(5000))
+    learner.flush()
+    assert learner.map.shape == (2, bitmodel.GATES * bitmodel.STEPS) and learner.map.flags.writeable
+    assert (learner.map >= 0).all() and learner.map.sum() == learner.mixed
+    assert lm._ENDINGS[b"ab"] == lm._ending(b"crab") == lm.BEFORE + zlib.crc32(b"ab") % lm.ENDINGS
