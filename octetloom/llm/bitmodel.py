@@ -44,6 +44,32 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of an array of strings or binaries without nulls, where each begins and the last ends)."""
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    _, ends, data = values.buffers()
+    if not len(values) or not ends:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(values) + 1, dtype=np.int64)
+    at = np.frombuffer(ends, dtype=np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(how many words each text has, the words of all texts in order): those of ``words_of``."""
+    data, at = bytes_of(texts.fill_null(""))
+    data = np.where(data - np.uint8(ord("A")) < 26, data + np.uint8(32), data)
+    solid = (data != ord(" ")) & (data - np.uint8(ord("\t")) > 4)
+    before = np.zeros_like(solid)
+    before[1:] = solid[:-1]
+    before[at[:-1][at[:-1] < at[-1]]] = False  # words end with their text
+    starts = np.flatnonzero(solid > before)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+    if len(starts):
+        np.cumsum(np.add.reduceat(solid, starts, dtype=np.int32), out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+    return np.diff(np.searchsorted(starts, at)), words
+
+
 class Code:
     """The Huffman code of symbols 0.. with these weights (ties by number):
     for each symbol a run of places, each with the bit in bit 0, its depth in
@@ -120,16 +146,13 @@ class Shape:
             key = node.view(np.uint32) * _ODD_32[1]
             for p, base, head in zip(self.predictors, self.base, heads):
                 h = np.repeat(head[piece], size)
-                if p.contexts:
-                    h += node
-                else:
+                if not p.contexts:
                     h ^= key
                     h ^= h >> np.uint32(15)
                     h *= _ODD_32[0]
                     h >>= np.uint32(32 - p.bits)
-                    h = h.view(np.int32)
-                    h += np.int32(base)
-                slots.append(h)
+                # Look-ups turn other kinds of index into this one, each time.
+                slots.append(np.add(h, node if p.contexts else base, dtype=np.intp))
             yield piece, size, (packed & 1).astype(np.float32), (packed >> 1) & 15, slots
 
 
@@ -215,10 +238,10 @@ class Learner:
         inputs = []
         for s in slots:
             seen = _at(self.counts, s).view(np.uint32)
-            logs = seen.astype(np.float32)
-            logs += PRIOR
-            np.log(logs, out=logs)
-            inputs.append(logs[1::2] - logs[::2])
+            odds = seen[1::2].astype(np.float32)
+            odds += PRIOR
+            odds /= seen[::2].astype(np.float32) + PRIOR
+            inputs.append(np.log(odds, out=odds))
         before = seen[1::2] + seen[::2]
         gate = _gate(depth, _level(before))
         dot = _dot(inputs, gate, self.weights.astype(np.float32))

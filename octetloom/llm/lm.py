@@ -6,14 +6,15 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmodel import Code, Learner, Model, Predictor, Shape, add_part, finish_part, words_of
+from .bitmodel import Code, Learner, Model, Predictor, Shape, add_part, bytes_of, finish_part, words_in
 from .common import materialize, unclashing
 
 #: Most words that have a symbol of their own and go to every executor; the
@@ -42,7 +43,7 @@ class Reader:
     rare ones, and the text's end."""
 
     def __init__(self, common: list[tuple[bytes, int]], rare: int, texts: int, bits: int):
-        self.number = {w: i for i, (w, _) in enumerate(common)}
+        self.common = pa.array([w for w, _ in common], pa.binary())
         self.rare, self.end = len(common), len(common) + 1
         n = np.array([n for _, n in common], dtype=np.float64)
         self.base = np.log10(np.concatenate([n + 1, [1, texts + 1]]))
@@ -54,38 +55,42 @@ class Reader:
             seen.update(w)
         self.letters = Shape(Code([1 + seen[b] for b in range(256)]), [Predictor(bits=b) for b in SPELLING_BITS])
 
-    def read(self, texts: list[list[bytes]]) -> tuple[tuple, np.ndarray, np.ndarray, list[bytes]]:
-        """((symbols, contexts, key), text of each symbol, hub of each text, rare words in order)."""
-        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    def read(self, each: np.ndarray, words: pa.Array) -> tuple[tuple, np.ndarray, np.ndarray, pa.Array]:
+        """((symbols, contexts, key), text of each symbol, hub of each text, rare
+        words in order) of texts with so many of these words each."""
+        texts, sizes = len(each), each + 1
         ends = sizes.cumsum() - 1
-        flat = [w for t in texts for w in t]
         symbols = np.full(int(sizes.sum()), self.end, dtype=np.int32)
         inner = np.ones(len(symbols), dtype=bool)
         inner[ends] = False
-        symbols[inner] = np.fromiter(map(self.number.get, flat, repeat(self.rare)), dtype=np.int32, count=len(flat))
-        rare_at = np.flatnonzero(symbols == self.rare)
-        own = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-        rare = [flat[i] for i in (rare_at - own[rare_at]).tolist()]
+        which = pc.index_in(words, value_set=self.common)
+        symbols[inner] = which.fill_null(self.rare).to_numpy()
+        own = np.repeat(np.arange(texts, dtype=np.int32), sizes)
+        rare = words.filter(which.is_null())
         after = self.after[symbols]
-        after[rare_at] = [_ENDINGS[w[-2:]] for w in rare]
+        after[symbols == self.rare] = _endings(rare)
         before = np.empty_like(after)
         before[1:] = after[:-1]
         before[ends - sizes + 1] = BEFORE + ENDINGS
         some = symbols < min(HUBS, self.rare)
-        often = np.bincount(own[some] * HUBS + symbols[some], minlength=len(texts) * HUBS).reshape(-1, HUBS)
+        often = np.bincount(own[some] * HUBS + symbols[some], minlength=texts * HUBS).reshape(-1, HUBS)
         hub = np.where(often.any(axis=1), often.argmax(axis=1), HUBS).astype(np.int32)
         hubs = hub[own]
         key = (hubs * np.int64(self.end + 1) + symbols) * (BEFORE + ENDINGS + 1) + before
         return (symbols, [hubs, before, before * (HUBS + 1) + hubs], key), own, hub, rare
 
     @staticmethod
-    def spelled(words: list[bytes]) -> tuple[tuple, np.ndarray]:
+    def spelled(words: pa.Array) -> tuple[tuple, np.ndarray]:
         """((bytes with the mark behind each word, contexts, key), word of each byte)."""
         pad = max(ORDERS)
-        data = np.frombuffer(b"".join([MARK * pad + w + MARK for w in words]), dtype=np.uint8).astype(np.int64)
-        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        letters, starts = bytes_of(words)
+        sizes = np.diff(starts) + 1
         own = np.repeat(np.arange(len(words)), sizes)
         at = np.arange(len(own)) + pad * (own + 1)
+        inner = np.ones(len(own), dtype=bool)
+        inner[sizes.cumsum() - 1] = False
+        data = np.full(len(own) + pad * len(words), ord(MARK), dtype=np.int64)
+        data[at[inner]] = letters
         value, contexts = np.zeros_like(at), []
         for back in range(1, pad + 1):
             value = (value << 8) | data[at - back]
@@ -109,62 +114,84 @@ def _ending(word: bytes) -> int:
     return _ENDINGS[word[-2:]]
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words and how often they come in texts that are not held out (0: never)."""
-    def out() -> pd.DataFrame:
-        for w in others:
-            seen.setdefault(w, 0)
-        return pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    seen: Counter[bytes] = Counter()
-    others: set[bytes] = set()
-    for b in batches:
-        for text, held in zip(b["text"], b["held_out"]):
-            (others if held else seen).update(words_of(text))
-            if len(seen) + len(others) > GATHERED_WORDS:
-                yield out()
-                seen.clear()
-                others.clear()
-    if seen or others:
-        yield out()
+def _endings(words: pa.Array) -> np.ndarray:
+    """``_ending`` of each word."""
+    data, at = bytes_of(words)
+    last = data[at[1:] - 1].astype(np.int32)
+    long = np.flatnonzero(np.diff(at) > 1)
+    last[long] += (data[at[1:][long] - 2].astype(np.int32) + 1) << 8
+    some, which = np.unique(last, return_inverse=True)
+    return np.array([_ENDINGS[bytes([x]) if x < 256 else (x - 256).to_bytes(2)] for x in some.tolist()], dtype=np.int32)[which]
 
 
-def _chunks(texts: pd.Series) -> Iterator[slice]:
-    """Slices of texts of TOGETHER characters or a little more."""
-    sizes, at, size = texts.str.len().fillna(0).to_numpy(), 0, 0
-    for i, n in enumerate(sizes):
-        size += n + 1
-        if size >= TOGETHER:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(sizes):
-        yield slice(at, len(sizes))
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and how often they come in texts that are not held out (0: never)."""
+    gathered: list[pa.Table] = []
+    for b in batches:
+        for some in _chunks(b):
+            each, words = words_in(some["text"])
+            words = words.dictionary_encode()
+            learnt = np.repeat(~some["held_out"].to_numpy(zero_copy_only=False), each)
+            n = np.bincount(words.indices.to_numpy()[learnt], minlength=len(words.dictionary))
+            gathered.append(pa.table({"word": words.dictionary, "n": pa.array(n, pa.int64())}))
+            if sum(map(len, gathered)) > 2 * GATHERED_WORDS:
+                gathered = [_added(gathered)]
+                if len(gathered[0]) > GATHERED_WORDS:
+                    yield from gathered.pop().to_batches()
+    if gathered:
+        yield from _added(gathered).to_batches()
+
+
+def _added(counts: list[pa.Table]) -> pa.Table:
+    added = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return added.rename_columns({"n_sum": "n"}).select(["word", "n"])
+
+
+def _chunks(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have TOGETHER characters or a little more."""
+    ends = (pc.utf8_length(rows["text"]).fill_null(0).to_numpy().astype(np.int64) + 1).cumsum()
+    at = 0
+    while at < len(ends):
+        cut = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)) + 1
+        yield rows.slice(at, cut - at)
+        at = cut
 
 
 PARTS = "model int, part int, data binary"
 
 
-def _parts(model: int, learner: Learner, hubs: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+def _parts(model: int, learner: Learner, hubs: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def out(number: int, data: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([model], pa.int32()), pa.array([number], pa.int32()), pa.array([data], pa.binary())], ["model", "part", "data"])
+
     for number, data in learner.parts():
-        yield pd.DataFrame({"model": [model], "part": [number], "data": [data]})
+        yield out(number, data)
     if hubs is not None and hubs.any():
-        yield pd.DataFrame({"model": [model], "part": [-3], "data": [hubs.tobytes()]})
+        yield out(-3, hubs.tobytes())
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, rows of it), of rows in order of their shards."""
+    for b in batches:
+        shard = b["shard"].to_numpy()
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for i, j in zip(starts, [*starts[1:], len(shard)]):
+            yield shard[i], b.slice(i, j - i)
 
 
 def _learn_words(shared):
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, shard = shared.value, None
         learner = hubs = None
-        for b in batches:
-            for number, rows in b.groupby("shard", sort=False):
-                if number != shard:
-                    if learner:
-                        yield from _parts(0, learner, hubs)
-                    shard, learner, hubs = number, Learner(reader.words), np.zeros(HUBS + 1, dtype=np.int64)
-                for some in _chunks(rows["text"]):
-                    seen, _, hub, _ = reader.read([words_of(t) for t in rows["text"].iloc[some]])
-                    hubs += np.bincount(hub, minlength=HUBS + 1)
-                    learner.add(*seen)
+        for number, rows in _by_shard(batches):
+            if number != shard:
+                if learner:
+                    yield from _parts(0, learner, hubs)
+                shard, learner, hubs = number, Learner(reader.words), np.zeros(HUBS + 1, dtype=np.int64)
+            for some in _chunks(rows):
+                seen, _, hub, _ = reader.read(*words_in(some["text"]))
+                hubs += np.bincount(hub, minlength=HUBS + 1)
+                learner.add(*seen)
         if learner:
             yield from _parts(0, learner, hubs)
 
@@ -172,15 +199,14 @@ def _learn_words(shared):
 
 
 def _learn_spelling(shared):
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = learner = None
-        for b in batches:
-            for number, rows in b.groupby("shard", sort=False):
-                if number != shard:
-                    if learner:
-                        yield from _parts(1, learner)
-                    shard, learner = number, Learner(shared.value.letters)
-                learner.add(*Reader.spelled([bytes(w) for w in rows["word"]])[0])
+        for number, rows in _by_shard(batches):
+            if number != shard:
+                if learner:
+                    yield from _parts(1, learner)
+                shard, learner = number, Learner(shared.value.letters)
+            learner.add(*Reader.spelled(rows["word"])[0])
         if learner:
             yield from _parts(1, learner)
 
@@ -219,7 +245,7 @@ def train(learning: DataFrame, size: int, words: DataFrame, number: int, shared)
     on) and maps are then added up, slice by slice."""
     texts = _sharded(learning, size, SHARD_BYTES, "doc_id", "text").select("shard", "text")
     spelt = _sharded(words, number, SHARD_WORDS, "word").select("shard", "word")
-    learnt = texts.mapInPandas(_learn_words(shared), PARTS).unionByName(spelt.mapInPandas(_learn_spelling(shared), PARTS))
+    learnt = texts.mapInArrow(_learn_words(shared), PARTS).unionByName(spelt.mapInArrow(_learn_spelling(shared), PARTS))
     # Sums of weights are of floats, so their order is fixed too.
     merged = learnt.repartition("model", "part").sortWithinPartitions("model", "part", "data").mapInPandas(_merge, PARTS)
     return {(r["model"], r["part"]): bytes(r["data"]) for r in merged.toLocalIterator()}
@@ -234,31 +260,31 @@ class Scorer:
         hubs = np.frombuffer(parts.get((0, -3), bytes(8 * (HUBS + 1))), dtype=np.int64)
         self.hub = np.log10((hubs + 1) / (hubs.sum() + HUBS + 1))
 
-    def spelling(self, words: list[bytes]) -> np.ndarray:
+    def spelling(self, words: pa.Array) -> np.ndarray:
         """Log10 probabilities of the words' bytes."""
         letters, word = self.reader.spelled(words)
         return np.bincount(word, self.letters.logs(*letters), minlength=len(words))
 
-    def measure(self, texts: list[list[bytes]]) -> pd.DataFrame:
-        """For each text: its common words and their sum of log10 counts; log10
-        of the text's probability but for which rare words it has; and these
-        words and how often they come."""
-        read, own, hub, rare = self.reader.read(texts)
-        symbols, n = read[0], len(texts)
-        logs = np.bincount(own, self.words.logs(*read), minlength=n) + self.hub[hub]
+    def measure(self, each: np.ndarray, words: pa.Array) -> dict[str, pa.Array]:
+        """For each of the texts with so many of these words: its common words and
+        their sum of log10 counts; log10 of the text's probability but for which
+        rare words it has; and these words and how often they come."""
+        read, own, hub, rare = self.reader.read(each, words)
+        (symbols, contexts, _), n = read, len(each)
+        # In order of the contexts, as the hashed slots of a context lie far from those of others.
+        key = contexts[-1] * np.int64(self.reader.end + 1) + symbols
+        logs = np.bincount(own, self.words.logs(symbols, contexts, key), minlength=n) + self.hub[hub]
         known = symbols != self.reader.rare
         base = np.bincount(own[known], self.reader.base[symbols[known]], minlength=n)
-        words = list(dict.fromkeys(rare))
-        number = dict(zip(words, range(len(words))))
-        which = np.fromiter(map(number.__getitem__, rare), dtype=np.int64, count=len(rare))
-        pair, often = np.unique(own[~known] * max(1, len(words)) + which, return_counts=True)
-        cut = np.searchsorted(pair, np.arange(n + 1) * max(1, len(words)))
-        pair %= max(1, len(words))
-        spans = [slice(a, z) for a, z in zip(cut, cut[1:])]
-        return pd.DataFrame({
-            "sure": np.bincount(own[known], minlength=n) - 1, "base": base, "log": logs,
-            "rare": [[words[i] for i in pair[s]] for s in spans], "rare_n": [often[s] for s in spans],
-        })
+        rare = rare.dictionary_encode()
+        many = max(1, len(rare.dictionary))
+        pair, often = np.unique(own[~known].astype(np.int64) * many + rare.indices.to_numpy(), return_counts=True)
+        cut = pa.array(np.searchsorted(pair, np.arange(n + 1) * many), pa.int32())
+        return {
+            "sure": pa.array(np.bincount(own[known], minlength=n) - 1, pa.int64()), "base": pa.array(base), "log": pa.array(logs),
+            "rare": pa.ListArray.from_arrays(cut, rare.dictionary.take(pa.array(pair % many))),
+            "rare_n": pa.ListArray.from_arrays(cut, pa.array(often, pa.int32())),
+        }
 
 
 #: The scorer that this worker used last.
@@ -309,7 +335,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     )
     learning = rows.where(~F.col("held_out")).select("doc_id", "text")
     # Words of held-out texts alone count 0.
-    counts = materialize(rows.select("text", "held_out").mapInPandas(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = materialize(rows.select("text", "held_out").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     seen = learning.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     # The least count that COMMON_WORDS words reach or pass, from a histogram by powers of 2**(1/4).
     step = F.floor(4 * F.log2("n"))
@@ -330,24 +356,24 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     trained = spark.sparkContext.broadcast(train(learning, seen["size"], counts.where("n > 0").select("word"), sum(r["words"] for r in steps), shared))
     name = uuid.uuid4().hex
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, shared, trained)
         for b in batches:
-            for some in _chunks(b["text"]):
-                part = b.iloc[some].reset_index(drop=True)
-                words = [words_of(t) for t in part["text"]]
-                head = pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"],
-                    "n_tokens": [len(w) + 1 for w in words], "n_bytes": [len(b"".join(w)) + max(len(w), 1) for w in words],
+            for some in _chunks(b):
+                each, words = words_in(some["text"])
+                size = np.diff(bytes_of(words)[1][np.concatenate([[0], each.cumsum()])])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": some["doc_id"], "held_out": some["held_out"],
+                    "n_tokens": pa.array(each + 1, pa.int64()), "n_bytes": pa.array(size + np.maximum(each, 1), pa.int64()),
+                    **scorer.measure(each, words),
                 })
-                yield pd.concat([head, scorer.measure(words)], axis=1)
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, shared, trained)
         for b in batches:
-            yield b.assign(s=scorer.spelling([bytes(w) for w in b["word"]]))
+            yield pa.RecordBatch.from_pydict({"word": b["word"], "n": b["n"], "s": pa.array(scorer.spelling(b["word"]))})
 
-    measured = rows.mapInPandas(
+    measured = rows.mapInArrow(
         measure, "doc_id long, held_out boolean, n_tokens long, n_bytes long, sure long, base double, log double, rare array<binary>, rare_n array<int>"
     ).withColumn("row", F.monotonically_increasing_id())
     measured = materialize(measured, "measured")  # from here on a row's number is fixed
@@ -355,7 +381,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     spelled = F.col("s") + F.lit(float(np.log10(new)))
     drawn = F.log10(F.col("n") * F.lit((1 - new) / max(rare_n, 1)))
     both = F.greatest(spelled, drawn) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(spelled - drawn)))
-    words = counts.where(few).mapInPandas(spell, "word binary, n long, s double").select("word", "n", F.when(F.col("n") == 0, spelled).otherwise(both).alias("s"))
+    words = counts.where(few).mapInArrow(spell, "word binary, n long, s double").select("word", "n", F.when(F.col("n") == 0, spelled).otherwise(both).alias("s"))
     zipped = measured.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
     more = zipped.select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k")).join(words, "word").groupBy("row").agg(
         F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"),

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,34 @@ def test_quick_lookups_equal_plain_ones():
     assert learner.map.shape == (2, bitmodel.GATES * bitmodel.STEPS) and learner.map.flags.writeable
     assert (learner.map >= 0).all() and learner.map.sum() == learner.mixed
     assert lm._ENDINGS[b"ab"] == lm._ending(b"crab") == lm.BEFORE + zlib.crc32(b"ab") % lm.ENDINGS
+
+
+def test_words_of_arrays_equal_those_of_texts():
+    odd = ["", None, " ", "a", " A  b\tC\x0b\x0cd\r\n", "b", "Ä\x85Z \x1c\x1dx", " é É x", "[@`{AZaz", "end ", "\x08\x0e \x00", "\U0001f600"]
+    for texts in (pa.array(odd), pa.array(odd, pa.large_string()), pa.array(["X y", *odd, "z"]).slice(1, len(odd)), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        each, words = bitmodel.words_in(texts)
+        want = [words_of(t) for t in texts.to_pylist()]
+        assert each.tolist() == [len(w) for w in want]
+        assert words.to_pylist() == [w for t in want for w in t]
+        assert lm._endings(words).tolist() == [lm._ending(w) for t in want for w in t]
+        letters, own = lm.Reader.spelled(words)
+        assert bytes(letters[0].tolist()) == b"".join(w + lm.MARK for t in want for w in t)
+        assert np.bincount(own, minlength=len(words)).tolist() == [len(w) + 1 for t in want for w in t]
+
+
+def test_word_counts_and_chunks_are_whole(monkeypatch):
+    monkeypatch.setattr(lm, "GATHERED_WORDS", 20)
+    monkeypatch.setattr(lm, "TOGETHER", 30)
+    rng = np.random.default_rng(7)
+    texts = [None if i % 9 == 0 else " ".join(f"W{n}" for n in rng.zipf(1.4, i % 13)) for i in range(300)]
+    rows = pa.record_batch({"text": pa.array(texts, pa.string()), "held_out": pa.array([i % 7 == 2 for i in range(300)])})
+    assert [t for some in lm._chunks(rows) for t in some["text"].to_pylist()] == texts
+    assert all(sum(len(t or "") + 1 for t in some["text"].to_pylist()[:-1]) < 30 for some in lm._chunks(rows))
+    got, want = Counter(), Counter()
+    for b in lm._word_counts(iter([rows.slice(0, 120), rows.slice(120, 0), rows.slice(120)])):
+        for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist()):
+            got[w] += n
+    for i, t in enumerate(texts):
+        for w in words_of(t):
+            want[w] += i % 7 != 2
+    assert got == want and set(got) == set(want)
