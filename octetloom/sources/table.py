@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 MAXIMUM_INPUT_BYTES = 64 << 20
+#: Bytes and rows that a task gathers before it hands them on.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 4096
+
+
+#: What parsers may be given to make of a source's bytes first.
+Write = Callable[[bytes], bytes] | None
 
 
 class FormatError(ValueError):
@@ -29,32 +37,54 @@ def from_bytes(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
     return spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], "source_id string, content binary")
 
 
-def parse(sources: DataFrame, parser: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
+def pieces(batches: Iterable[pa.RecordBatch], make: Callable[[bytes], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows that ``make`` makes of each content, behind its
+    source_id. They are handed on by size, so that a task holds one input batch,
+    one source's rows and a piece, however many rows a batch has."""
+    for b in batches:
+        keys, contents = b.column(0), b.column(1)
+        at, rows, held = [], [], 0
+
+        def piece() -> pa.RecordBatch:
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), schema.types[1:])]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())).cast(schema.types[0]), *columns], schema=schema)
+
+        for i in range(b.num_rows):
+            for row in make(contents[i].as_py() or b""):
+                at.append(i)
+                rows.append(row)
+                held += sum(len(v) for v in row if isinstance(v, bytes | str))
+                if held >= PIECE_BYTES or len(rows) >= PIECE_ROWS:
+                    yield piece()
+                    at, rows, held = [], [], 0
+        if rows:
+            yield piece()
+
+
+def _mapped(sources: DataFrame, make: Callable[[bytes], list[tuple]], fields: list[StructField]) -> DataFrame:
+    kind = StructType([StructField("source_id", sources.schema["source_id"].dataType), *fields])
+    schema = to_arrow_schema(kind)
+    return sources.select("source_id", "content").mapInArrow(lambda batches: pieces(batches, make, schema), kind)
+
+
+def rewritten(sources: DataFrame, write: Callable[[bytes], bytes]) -> DataFrame:
+    """(source_id, content) with ``write`` of each source's bytes."""
+    return _mapped(sources, lambda c: [(write(c),)], [sources.schema["content"]])
+
+
+def parse(sources: DataFrame, parser: Callable[[bytes], Iterable[tuple]], schema: str, write: Write = None) -> DataFrame:
     """A row for each tuple that ``parser`` makes of a source's bytes, behind
-    source_id; a source that it refuses is one row with ``error`` and nulls."""
-    kind = dict(sources.dtypes)["source_id"]
-    names = [c.strip().split(" ")[0] for c in _split(schema)]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, content in zip(b["source_id"], b["content"]):
-                try:
-                    out += [(key, *row, None) for row in parser(bytes(content or b""))]
-                except FormatError as e:
-                    out.append((key, *[None] * len(names), str(e)))
-            frame = pd.DataFrame(out, columns=["source_id", *names, "error"], dtype=object)
-            yield frame
-
-    return sources.select("source_id", "content").mapInPandas(scan, f"source_id {kind}, {schema}, error string")
-
-
-def _split(schema: str) -> list[str]:
-    parts, depth = [""], 0
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts
+    source_id; a source that it refuses is one row with ``error`` and nulls.
+    ``write`` is applied to the bytes first, in the same task; what it refuses
+    is no error of the source and ends the task."""
+    fields = StructType.fromDDL(schema).fields
+    nothing = (None,) * len(fields)
+
+    def rows(content: bytes) -> list[tuple]:
+        made = write(content) if write else content
+        try:
+            return [(*row, None) for row in parser(made)]
+        except FormatError as e:
+            return [(*nothing, str(e))]
+
+    return _mapped(sources, rows, [*fields, StructField("error", StringType())])
