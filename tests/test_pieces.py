@@ -5,7 +5,9 @@ import random
 import pyarrow as pa
 import pytest
 
-from octetloom.sources import builders, codecs, media, table
+from octetloom.plans import format_queries  # noqa: F401
+from octetloom.plans.queries import QUERIES
+from octetloom.sources import builders, codecs, media, table, volumes
 from octetloom.sources.table import FormatError
 
 SCHEMA = pa.schema([("source_id", pa.int64()), ("content", pa.binary())])
@@ -60,3 +62,18 @@ def test_pictures_by_blocks(monkeypatch):
         assert media.read_picture(builders.picture(width, height, planes, pixels, b""))[-1] == pixels
     with pytest.raises(FormatError):
         builders.picture(16, 2, 8, bytes(31), b"")
+
+
+@pytest.mark.parametrize("name", ["adf_list"])
+def test_one_task_writes_and_reads(spark, sf_dir, name):
+    """Two Python processes a task each held up to 10,000 whole volumes or files."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+
+
+def test_boot_checksum():
+    """Words are summed at once; a carry is added back as often as it comes."""
+    assert volumes.boot_checksum(b"\xff" * 1024) == 0xFFFFFFFF and volumes.boot_checksum(bytes(1024)) == 0
+    assert volumes.boot_checksum(b"\xff\xff\xff\xff\x00\x00\x00\x02") == 2 and volumes.boot_checksum(b"\0\0\0\1\5") == 6
+    volume = builders.volume([("a", b"x" * 5000), ("empty", b"")])
+    assert volumes.read_boot(volume)[2] and [e[:2] + e[3:] for e in volumes.Volume(volume).entries()] == [("a", "file", 5000, None), ("empty", "file", 0, None)]
