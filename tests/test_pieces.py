@@ -64,7 +64,7 @@ def test_pictures_by_blocks(monkeypatch):
         builders.picture(16, 2, 8, bytes(31), b"")
 
 
-@pytest.mark.parametrize("name", ["adf_list", "boot_info"])
+@pytest.mark.parametrize("name", ["adf_list", "boot_info", "hunk_list"])
 def test_one_task_writes_and_reads(spark, sf_dir, name):
     """Two Python processes a task each held up to 10,000 whole volumes or files."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
