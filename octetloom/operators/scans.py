@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import bytes as B
 from ..functions import windows as W
 from ..sources import media
+from ..sources.table import parse
 
 #: Entropy, in bits a byte, from which a block looks packed, and up to which sparse.
 PACKED_BITS, SPARSE_BITS = 7.5, 2.0
@@ -123,20 +124,21 @@ def palette_runs(words: DataFrame, minimum: int = 8, key: str = "source_id") ->
 def palette_tables(sources: DataFrame, minimum: int = 8) -> DataFrame:
     """Palette tables in byte sources: (source_id, start, stop, colours). Found
     in the row: on the grid of even offsets, words 0x0000 to 0x0FFF."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, content in zip(b["source_id"], b["content"]):
-                content = content or b""
-                w = np.frombuffer(content[: len(content) // 2 * 2], dtype=">u2")
-                edge = np.diff((w < 0x1000).astype(np.int8), prepend=0, append=0)
-                for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                    if z - a >= max(minimum, 2) and len(np.unique(w[a:z])) >= 2:
-                        out.append((key, 2 * a, 2 * z, z - a))
-            yield pd.DataFrame(out, columns=["source_id", "start", "stop", "colours"])
+    return parse(sources, lambda c: _palettes(c, minimum), "start long, stop long, colours long").drop("error")
 
-    kind = dict(sources.dtypes)["source_id"]
-    return sources.select("source_id", "content").mapInPandas(scan, f"source_id {kind}, start long, stop long, colours long")
+
+def _runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of at least ``least`` true places."""
+    edges = np.flatnonzero(np.diff(mask.view(np.int8), prepend=0, append=0))
+    start, stop = edges[::2], edges[1::2]
+    long = stop - start >= least
+    return start[long], stop[long]
+
+
+def _palettes(content: bytes, minimum: int) -> list[tuple]:
+    w = np.frombuffer(content[: len(content) // 2 * 2], dtype=">u2")
+    found = zip(*(x.tolist() for x in _runs(w < 0x1000, max(minimum, 2))))
+    return [(2 * a, 2 * z, z - a) for a, z in found if (w[a:z] != w[a]).any()]
 
 
 #: Ranges of registers that a display list sets up: fixed values of the chip set.
@@ -150,32 +152,28 @@ def copper_lists(sources: DataFrame) -> DataFrame:
     instructions up to there (LONGEST_LIST at most): waits, skips and moves to
     registers 0x080 to 0x1FE; three moves at least, one to a display register.
     A longer run has all moves of a shorter one, so the earliest start decides."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, content in zip(b["source_id"], b["content"]):
-                content = content or b""
-                w = np.frombuffer(content[: len(content) // 4 * 4], dtype=">u2").reshape(-1, 2).astype(np.int64)
-                first = w[:, 0]
-                end = (first == 0xFFFF) & (w[:, 1] == 0xFFFE)
-                if not end.any():
-                    continue
-                move = first % 2 == 0
-                sound = ~move | (first >= 0x80) & (first <= 0x1FE)
-                shown = move & np.logical_or.reduce([(first >= a) & (first <= z) for a, z in DISPLAY_REGISTERS])
-                moves, shows = np.concatenate([[0], (move & sound).cumsum()]), np.concatenate([[0], shown.cumsum()])
-                breaks = np.flatnonzero(~sound | end)
-                ends = np.flatnonzero(end)
-                at = np.searchsorted(breaks, ends)
-                before = np.where(at > 0, breaks[np.maximum(at - 1, 0)] + 1, 0)
-                for s, e in zip(np.maximum(before, ends - LONGEST_LIST + 1), ends):
-                    if moves[e] - moves[s] >= 3 and shows[e] > shows[s]:
-                        out.append((key, 4 * s, 4 * e + 4, e - s + 1, moves[e] - moves[s]))
-            yield pd.DataFrame(out, columns=["source_id", "start", "stop", "instructions", "moves"])
-
-    kind = dict(sources.dtypes)["source_id"]
-    return sources.select("source_id", "content").mapInPandas(scan, f"source_id {kind}, start long, stop long, instructions long, moves long")
+    return parse(sources, _display_lists, "start long, stop long, instructions long, moves long").drop("error")
+
+
+def _display_lists(content: bytes) -> list[tuple]:
+    if b"\xff\xff\xff\xfe" not in content:
+        return []
+    w = np.frombuffer(content[: len(content) // 4 * 4], dtype=">u2").reshape(-1, 2).astype(np.int64)
+    first = w[:, 0]
+    end = (first == 0xFFFF) & (w[:, 1] == 0xFFFE)
+    move = first % 2 == 0
+    sound = ~move | (first >= 0x80) & (first <= 0x1FE)
+    shown = move & np.logical_or.reduce([(first >= a) & (first <= z) for a, z in DISPLAY_REGISTERS])
+    moves, shows = np.concatenate([[0], (move & sound).cumsum()]), np.concatenate([[0], shown.cumsum()])
+    breaks = np.flatnonzero(~sound | end)
+    ends = np.flatnonzero(end)
+    at = np.searchsorted(breaks, ends)
+    before = np.where(at > 0, breaks[np.maximum(at - 1, 0)] + 1, 0)
+    out = []
+    for s, e in zip(np.maximum(before, ends - LONGEST_LIST + 1).tolist(), ends.tolist()):
+        if moves[e] - moves[s] >= 3 and shows[e] > shows[s]:
+            out.append((4 * s, 4 * e + 4, e - s + 1, int(moves[e] - moves[s])))
+    return out
 
 
 def pointer_runs(words: DataFrame, low: int, high: int, minimum: int = 3, key: str = "source_id") -> DataFrame:
@@ -245,17 +243,40 @@ def survey(sources: DataFrame, minimum_string: int = 6, minimum_colours: int = 8
     """An ordered, gapless map of each source: (source_id, start, stop, kind,
     detail_count, entropy). Strings (merged), palettes, display lists and
     tracker modules are located, swept so that none overlap, and what is left
-    is scored by entropy."""
-    strings = merged_strings(sources, minimum_string).select("source_id", "start", "stop", F.lit("strings").alias("kind"), F.col("strings").alias("detail_count"), F.lit(1).alias("priority"))
-    colours = palette_tables(sources, minimum_colours).select("source_id", "start", "stop", F.lit("palette").alias("kind"), F.col("colours").alias("detail_count"), F.lit(2).alias("priority"))
-    lists = copper_lists(sources).select("source_id", "start", "stop", F.lit("copper").alias("kind"), F.col("instructions").alias("detail_count"), F.lit(3).alias("priority"))
-    songs = media.modules(sources).where("error IS NULL").select(
-        "source_id", F.col("offset").alias("start"), (F.col("offset") + F.col("total_bytes")).alias("stop"), F.lit("module").alias("kind"), F.col("channels").cast("long").alias("detail_count"), F.lit(4).alias("priority")
-    )
-    located = W.overlap_sweep(strings.unionByName(colours).unionByName(lists).unionByName(songs)).select("source_id", "start", "stop", "kind", "detail_count")
-    sizes = sources.select("source_id", F.octet_length("content").cast("long").alias("size"))
-    rest = W.gaps(located, sizes).join(sources.select("source_id", "content"), "source_id")
-    scored = rest.withColumn("entropy", B.entropy(B.byte_array(F.substring(F.col("content"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")))))
-    kind = F.when(F.col("entropy") >= PACKED_BITS, "packed").when(F.col("entropy") <= SPARSE_BITS, "sparse").otherwise("code-or-bitmap")
-    gaps = scored.select("source_id", "start", "stop", kind.alias("kind"), F.lit(0).cast("long").alias("detail_count"), "entropy")
-    return located.withColumn("entropy", F.lit(None).cast("double")).unionByName(gaps)
+    is scored by entropy: all in the row that has the bytes."""
+    return parse(sources, lambda c: regions(c, minimum_string, minimum_colours), "start long, stop long, kind string, detail_count long, entropy double").drop("error")
+
+
+def regions(content: bytes, minimum_string: int = 6, minimum_colours: int = 8) -> list[tuple]:
+    """``survey`` of one source: (start, stop, kind, detail_count, entropy)."""
+    found = [(a, -1, -z, "strings", n) for a, z, n in _merged(content, minimum_string)]
+    found += [(a, -2, -z, "palette", n) for a, z, n in _palettes(content, minimum_colours)]
+    found += [(a, -3, -z, "copper", n) for a, z, n, _ in _display_lists(content)]
+    found += [(a, -4, -a - total, "module", channels) for a, _, _, channels, *_, total in media.find_modules(content)]
+    out, at = [], 0
+    for start, _, stop, kind, count in sorted(found):
+        if -stop > at:
+            if start > at:
+                out.append(_scored(content, at, start))
+            out.append((max(start, at), -stop, kind, count, None))
+            at = -stop
+    if at < len(content):
+        out.append(_scored(content, at, len(content)))
+    return out
+
+
+def _merged(content: bytes, minimum: int, gap: int = MERGE_GAP) -> list[tuple]:
+    """Printable runs of at least ``minimum`` bytes, near ones made one: (start, stop, strings)."""
+    start, stop = _runs((np.frombuffer(content, np.uint8) - np.uint8(0x20)) <= 0x5E, max(minimum, 1))
+    fresh = np.flatnonzero(start[1:] > stop[:-1] + gap) + 1
+    first = np.concatenate([[0], fresh]) if len(start) else fresh
+    last = np.concatenate([fresh, [len(start)]]) if len(start) else fresh
+    return list(zip(start[first].tolist(), stop[last - 1].tolist(), (last - first).tolist()))
+
+
+def _scored(content: bytes, start: int, stop: int) -> tuple:
+    count = np.bincount(np.frombuffer(content, np.uint8, stop - start, start))
+    some = count[count > 1]
+    entropy = float(np.log2(stop - start) - (some * np.log2(some)).sum() / (stop - start))
+    kind = "packed" if entropy >= PACKED_BITS else "sparse" if entropy <= SPARSE_BITS else "code-or-bitmap"
+    return start, stop, kind, 0, entropy

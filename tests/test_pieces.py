@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from octetloom.operators import scans
 from octetloom.plans import format_queries  # noqa: F401
 from octetloom.plans.queries import QUERIES
 from octetloom.sources import builders, codecs, media, table, volumes
@@ -77,3 +78,15 @@ def test_boot_checksum():
     assert volumes.boot_checksum(b"\xff\xff\xff\xff\x00\x00\x00\x02") == 2 and volumes.boot_checksum(b"\0\0\0\1\5") == 6
     volume = builders.volume([("a", b"x" * 5000), ("empty", b"")])
     assert volumes.read_boot(volume)[2] and [e[:2] + e[3:] for e in volumes.Volume(volume).entries()] == [("a", "file", 5000, None), ("empty", "file", 0, None)]
+
+
+def test_survey_stays_in_the_row(spark):
+    """Contents were shuffled to their gaps, and a module was tried at every other byte."""
+    head = bytearray(1084)
+    head[:4], head[950], head[1080:] = b"song", 1, b"16CH"
+    song = bytes(head) + bytes(64 * 16 * 4)
+    data = b"\x81\x82\x83\x84" * 3 + song
+    mapped = scans.survey(table.from_bytes(spark, {"a": data, "none": b""}))
+    assert "Exchange" not in mapped._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r)[1:5] for r in mapped.orderBy("start").collect()]
+    assert got == [(0, 12, "sparse", 0), (12, len(data), "module", 16)]  # exactly 2 bits, as in the SQL
