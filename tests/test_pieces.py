@@ -90,3 +90,24 @@ def test_survey_stays_in_the_row(spark):
     assert "Exchange" not in mapped._jdf.queryExecution().executedPlan().toString()
     got = [tuple(r)[1:5] for r in mapped.orderBy("start").collect()]
     assert got == [(0, 12, "sparse", 0), (12, len(data), "module", 16)]  # exactly 2 bits, as in the SQL
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 100, 70_001])
+def test_power_packed_at_once(size):
+    """Literals are read by the run; bits were read one by one."""
+    data = random.Random(size).randbytes(size)
+    packed = builders.power_pack(data)
+    assert not hasattr(codecs._Backward(packed[:-4]), "have")
+    assert codecs.power_packed(packed, (9, 10, 11, 12)) == data
+    for broken in (packed[4:], bytes(4) + packed[:-4] + (size + 1).to_bytes(3, "big") + packed[-1:]):
+        with pytest.raises(FormatError):
+            codecs.power_packed(broken, (9, 10, 11, 12))
+
+
+def test_power_packed_matches():
+    """A near match repeats itself, a far one is copied."""
+    bits = "0" + "01" + f"{ord('b'):08b}{ord('a'):08b}" + "10" + f"{1:011b}" + "1" + "01" + f"{1:010b}"  # ba, then 4 and 3 from 2 behind
+    bits = "0" * (-len(bits) % 32) + bits
+    stream = b"".join(int(bits[i : i + 32][::-1], 2).to_bytes(4, "big") for i in range(0, len(bits), 32)[::-1])
+    skip = -(1 + 2 + 16 + 2 + 11 + 1 + 2 + 10) % 32
+    assert codecs.power_packed(stream + (9).to_bytes(3, "big") + bytes([skip]), (9, 10, 11, 12)) == b"babababab"[-9:]
