@@ -111,3 +111,24 @@ def test_power_packed_matches():
     stream = b"".join(int(bits[i : i + 32][::-1], 2).to_bytes(4, "big") for i in range(0, len(bits), 32)[::-1])
     skip = -(1 + 2 + 16 + 2 + 11 + 1 + 2 + 10) % 32
     assert codecs.power_packed(stream + (9).to_bytes(3, "big") + bytes([skip]), (9, 10, 11, 12)) == b"babababab"[-9:]
+
+
+def test_rle_xor_by_windows():
+    """Runs of 1 to 700 of the marker and of others, over several windows, as the byte by byte writer had them."""
+    rng = random.Random(8)
+    data = b"".join(bytes([rng.choice(b"eexyz\x00")]) * rng.choice([1, 1, 2, 3, 4, 255, 256, 257, 259, 260, 700]) for _ in range(2000))
+    want, at = bytearray(b"e") + (len(data) + 4).to_bytes(4, "big"), 0
+    while at < len(data):
+        n = 1
+        while n < 256 and at + n < len(data) and data[at + n] == data[at]:
+            n += 1
+        want += bytes([101, n - 1, data[at]]) if n > 3 or data[at] == 101 else data[at : at + n]
+        at += n
+    packed = builders.pack_rle_xor(data, 101, xor=False)
+    assert packed == want and builders.pack_rle_xor(data, 101) == bytes(b ^ (i & 255) for i, b in enumerate(want)) == codecs.xored(packed)
+    plain = rng.randbytes(3 * codecs.WINDOW).replace(b"e", b"x") + data
+    assert codecs.rle_xor(builders.pack_rle_xor(plain, 101), 101, inline_marker=True, size_bytes=4, size_includes_field=True) == (plain, len(plain))
+    with pytest.raises(FormatError, match="cut short"):
+        codecs.rle_xor(b"x" * 40_000 + b"e\x01", 101, xor=False)
+    with pytest.raises(FormatError, match="larger"):
+        codecs.rle_xor(packed[5:], 101, xor=False, limit=len(data) - 1)
