@@ -1,7 +1,8 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and dealing rows out by size."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -20,3 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
             path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(path)
     return df.checkpoint()
+
+
+#: Bytes of files that a task is dealt.
+TASK_BYTES = 16 << 20
+
+
+def tasks_for(*frames: DataFrame) -> int:
+    """How many tasks the files that ``frames`` read make, one a core at least,
+    so that a task's rows do not grow with the tables."""
+    size = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size += sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    least = frames[0].sparkSession.sparkContext.defaultParallelism
+    return max(least, min(math.ceil(size / TASK_BYTES), 20_000))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import windows as W
 
 #: Sites kept in a list of references, beside their exact number.
@@ -56,10 +57,16 @@ def references_to(references: DataFrame, address, cap: int = 200) -> DataFrame:
 
 
 def reverse_references(references: DataFrame, cap: int = SITE_CAP) -> DataFrame:
-    """Each target's first ``cap`` distinct sites and their exact number. The
-    cut comes before the list is gathered, so no list outgrows the cap."""
-    distinct = references.select("target", "site").distinct()
-    cut = W.capped(distinct, ["target"], [F.asc("site")], cap, "site_total")
+    """Each target's first ``cap`` distinct sites (null last) and their exact
+    number. Rows are dealt once, by target, to as many tasks as the tables need;
+    equal sites have equal ranks in a sorted run, so no task has a table of all
+    pairs. The cut comes before the list is gathered, so no list outgrows the cap."""
+    dealt = references.select("target", "site").repartition(tables.tasks_for(references), "target")
+    w = Window.partitionBy("target").orderBy(F.asc_nulls_last("site"))
+    ranked = dealt.withColumn("_rank", F.dense_rank().over(w)).withColumn("_rn", F.row_number().over(w))
+    first = (F.col("_rn") == 1) | ~F.lag("site").over(w).eqNullSafe(F.col("site"))
+    counted = ranked.withColumn("_first", first).withColumn("site_total", F.max("_rank").over(Window.partitionBy("target")).cast("long"))
+    cut = counted.where(F.col("_first") & (F.col("_rank") <= cap))
     return cut.groupBy("target").agg(F.sort_array(F.collect_list("site")).alias("sites"), F.max("site_total").alias("site_total"))
 
 

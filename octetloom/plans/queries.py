@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions import windows as W
+from ..functions.tables import tasks_for
 from ..operators import compare, graph, hardware, project, raster, sandbox, scans, tables
 from ..operators.layout import Layout, decode
 
@@ -333,6 +334,8 @@ _CALLS = """calls AS (SELECT o_custkey AS caller, l_suppkey AS callee, l_orderke
 def _calls(spark, sf_dir) -> DataFrame:
     lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if (n := tasks_for(lines, orders)) > spark.sparkContext.defaultParallelism:
+        lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("caller"), F.col("l_suppkey").alias("callee"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("site")
     )
